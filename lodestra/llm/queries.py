@@ -8,17 +8,35 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestra.llm import language_id, line_dedup, quality_net, sentencepieces, token_counts
-from lodestra.llm.common import table
+from lodestra.llm import fingerprints, language_id, line_dedup, near_dedup, quality_net, sentencepieces, substring_dedup, token_counts
+from lodestra.llm.common import settled, table
 
 WORD_BPE, PIECE_BPE = "word_bpe_49k.json", "piece_bpe_32k.model"
 
 
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's columns, and for documents whose id is divisible by 100 the number of other distinct
+    fingerprints of the table within the Hamming radius (null for the others)."""
+    found = settled(spark, fingerprints.edited_fingerprints(table(spark, sf_dir, "documents")))
+    asked = found.where("doc_id % 100 = 0").select("fingerprint").distinct()
+    near = fingerprints.within(asked, found).groupBy("query").agg(F.count(F.lit(1)).alias("n"))
+    near = asked.join(near, asked["fingerprint"] == near["query"], "left").select(asked["fingerprint"], F.coalesce("n", F.lit(0)).alias("n"))
+    return found.join(near, "fingerprint", "left").select(*found.columns, F.when(F.col("doc_id") % 100 == 0, F.col("n")).alias("n_near"))
+
+
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.substring_dedup(table(spark, sf_dir, "documents"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = line_dedup.line_dedup(table(spark, sf_dir, "documents"))
     return done.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_classes(table(spark, sf_dir, "documents"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = language_id.held_out(4, 2)
@@ -44,6 +62,6 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op5_line_dedup, op7_language_id, op8_quality_net, op9_sentencepieces, op10_token_counts)
+    f.__name__: f for f in (op1_fingerprints, op3_substring_dedup, op5_line_dedup, op6_near_dedup, op7_language_id, op8_quality_net, op9_sentencepieces, op10_token_counts)
 }
 ORACLE_SQL: dict[str, str] = {}
