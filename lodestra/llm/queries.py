@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestra.llm import fingerprints, language_id, line_dedup, near_dedup, quality_net, sentencepieces, substring_dedup, token_counts
+from lodestra.llm import decontamination, fingerprints, language_id, line_dedup, near_dedup, quality_net, revisits, sentencepieces, substring_dedup, token_counts
 from lodestra.llm.common import settled, table
 
 WORD_BPE, PIECE_BPE = "word_bpe_49k.json", "piece_bpe_32k.model"
@@ -24,10 +24,20 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.join(near, "fingerprint", "left").select(*found.columns, F.when(F.col("doc_id") % 100 == 0, F.col("n")).alias("n_near"))
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.substring_dedup(table(spark, sf_dir, "documents"))
 
 
+def op4_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = revisits.resolve(revisits.page_records(table(spark, sf_dir, "pages")))
+    merged = F.array_join(F.transform("headers", lambda h: F.concat(F.lower(h["name"]), F.lit(": "), h["value"])), "; ")
+    return found.select("record_id", "url_key", "source_id", "source_ts", "state", "digest", merged.alias("headers"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = line_dedup.line_dedup(table(spark, sf_dir, "documents"))
     return done.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -62,6 +72,6 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_fingerprints, op3_substring_dedup, op5_line_dedup, op6_near_dedup, op7_language_id, op8_quality_net, op9_sentencepieces, op10_token_counts)
+    f.__name__: f for f in (op1_fingerprints, op2_decontamination, op3_substring_dedup, op4_revisits, op5_line_dedup, op6_near_dedup, op7_language_id, op8_quality_net, op9_sentencepieces, op10_token_counts)
 }
 ORACLE_SQL: dict[str, str] = {}
