@@ -40,11 +40,11 @@ def arr_edit(spark, sf_dir):
     return _lines(spark, sf_dir).select("k", F.array_append(p, lit(9)).alias("a"), F.array_prepend(p, lit(9)).alias("b"), ar.cat(p, col("xs").cast("array<bigint>")).alias("c"), ar.remove(p, lit(3)).alias("d"), ar.replace(p, lit(3), lit(30)).alias("e"))
 
 
-@query("arr_search", f"""select k, nullif(list_position(ps, 3), 0) as p, list_filter(list_transform(range(1, len(ps) + 1), lambda i: case when ps[i] = 3 then i end), lambda i: i is not null) as ps,
+@query("arr_search", f"""select k, nullif(list_position(ps, 3), 0) as p, list_filter(list_transform(range(1, len(ps) + 1), lambda i: case when ps[i] = 3 then i end), lambda i: i is not null) as places,
     list_has_all(ps, [1, 2]) as c, list_has_any(ps, [1, 2]) as o, list_has_all([0, 1, 2, 3], ps) as b from {_LINES}""")
 def arr_search(spark, sf_dir):
     p, two = col("ps"), F.array(lit(1), lit(2))
-    return _lines(spark, sf_dir).select("k", ar.position(p, lit(3)).alias("p"), ar.positions(p, lit(3)).alias("ps"), ar.contains(p, two).alias("c"), ar.overlaps(p, two).alias("o"), ar.contains(F.array(*map(lit, range(4))), p).alias("b"))
+    return _lines(spark, sf_dir).select("k", ar.position(p, lit(3)).alias("p"), ar.positions(p, lit(3)).alias("places"), ar.contains(p, two).alias("c"), ar.overlaps(p, two).alias("o"), ar.contains(F.array(*map(lit, range(4))), p).alias("b"))
 
 
 @query("arr_subscript_slice", f"select k, xs[2] as a, xs[99] as b, xs[2:3] as s, [xs[1], 7] as n from {_LINES}")
