@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lodestra.llm import decontamination, fingerprints, language_id, line_dedup, near_dedup, quality_net, revisits, sentencepieces, substring_dedup, token_counts
 from lodestra.llm.common import settled, table
+from lodestra.llm.sql import ORACLE_SQL  # noqa: F401
 
 WORD_BPE, PIECE_BPE = "word_bpe_49k.json", "piece_bpe_32k.model"
 
@@ -74,4 +75,3 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_fingerprints, op2_decontamination, op3_substring_dedup, op4_revisits, op5_line_dedup, op6_near_dedup, op7_language_id, op8_quality_net, op9_sentencepieces, op10_token_counts)
 }
-ORACLE_SQL: dict[str, str] = {}
