@@ -31,6 +31,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,7 +39,8 @@ from lodestra.llm.common import inner_id, outer_id, partitions, small_batches
 from lodestra.llm.fingerprints import range_bucket
 from lodestra.llm.kernels import blocks, span_hashes, window_hashes, words
 
-WIDTH, ROWS_PER_BUCKET = 13, 4000
+WIDTH, ROWS_PER_BUCKET = 13, 1500
+_COMPARED = 1 << 18
 _U = np.uint64
 
 
@@ -78,11 +80,12 @@ def same_words(a: Words, i: np.ndarray, b: Words, j: np.ndarray) -> np.ndarray:
     size = a.ends[i] - a.starts[i]
     ok = size == b.ends[j] - b.starts[j]
     live = np.flatnonzero(ok)
-    if len(live):
-        n = size[live]
-        step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        differ = a.data[np.repeat(a.starts[i[live]], n) + step] != b.data[np.repeat(b.starts[j[live]], n) + step]
-        ok[live] = ~np.logical_or.reduceat(differ, np.cumsum(n) - n)
+    for part in np.split(live, range(_COMPARED, len(live), _COMPARED)):  # words at a time, for bounded memory
+        if len(part):
+            n = size[part]
+            step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            differ = a.data[np.repeat(a.starts[i[part]], n) + step] != b.data[np.repeat(b.starts[j[part]], n) + step]
+            ok[part] = ~np.logical_or.reduceat(differ, np.cumsum(n) - n)
     return ok
 
 
@@ -123,10 +126,10 @@ def unpack(raw: bytes) -> np.ndarray:
 
 def _sorted(group: pa.Table) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     """Ids and texts in one order on every run, and each row's rank by id alone."""
-    ids, texts = group["__id"].to_pylist(), group["__text"].to_pylist()
-    order = sorted(range(len(ids)), key=lambda k: (ids[k], texts[k] or ""))
-    ids_ = np.array([ids[k] for k in order], np.int64)
-    return ids_, pa.array([texts[k] for k in order], pa.large_string()), np.searchsorted(ids_, ids_, "left")
+    order = pa.compute.sort_indices(group.select(["__id", "__text"]), [("__id", "ascending"), ("__text", "ascending")])
+    ids = group["__id"].take(order).to_numpy()
+    texts = pa.chunked_array([group["__text"].cast(pa.large_string()).combine_chunks()]).take(order).combine_chunks()
+    return ids, texts, np.searchsorted(ids, ids, "left")
 
 
 _EDGES = "__s int, __b int, edges binary"
@@ -209,8 +212,7 @@ class Bucket:
             cut[1:] = (np.diff(mine) != 1) | (np.diff(source) != 0) | (np.diff(w.text[mine]) != 0)
         begin = np.flatnonzero(cut)
         end = np.append(begin[1:], len(mine)) - 1
-        raw = w.data.tobytes()
-        spans = [raw[w.starts[w.at[mine[b]]] : w.ends[w.at[mine[e]] + self.width - 1]] for b, e in zip(begin, end)]
+        spans = [w.data[w.starts[w.at[mine[b]]] : w.ends[w.at[mine[e]] + self.width - 1]].tobytes() for b, e in zip(begin, end)]
         return pa.table({"__b": source[begin].astype(np.int32), "owner": pa.nulls(len(begin), pa.int32()), "first": mine[begin].astype(np.int64), "words": pa.array(spans, pa.binary())}, schema=_schema(_PATHS))
 
     def removed(self) -> np.ndarray:
