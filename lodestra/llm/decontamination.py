@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestra.llm.common import small_batches
+from lodestra.llm.workers import working
 
 RATE, MIN_PIECE, PART_BYTES = 0.05, 8, 32 << 20
 _KEPT = 20_000
@@ -129,6 +130,7 @@ def leaks(docs: DataFrame, items: DataFrame, rate: float = RATE) -> DataFrame:
         shared = docs.sparkSession.sparkContext.broadcast(part)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            working("leaks")
             matcher = Matcher(shared.value, rate)
             for batch in batches:
                 rows = [(i, *hit) for i, text in enumerate(batch.column(1).to_pylist()) for hit in matcher.find(text)]
@@ -152,6 +154,7 @@ def clean(docs: DataFrame, items: DataFrame, rate: float = RATE) -> DataFrame:
         shared = docs.sparkSession.sparkContext.broadcast(part)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            working("leaks")
             matcher = Matcher(shared.value, rate)
             for batch in batches:
                 yield batch.filter(pa.array([not matcher.find(t) for t in batch.column(place).to_pylist()], pa.bool_()))

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from lodestra.llm.common import small_batches
 from lodestra.llm.kernels import blocks
+from lodestra.llm.workers import working
 
 BINS, GRAM, MAX_DOCS, ROUNDS = 1 << 16, 3, 3000, 12
 UNKNOWN = "und"
@@ -120,6 +121,7 @@ def identify(docs: DataFrame, model: LanguageModel, carry: list[str] | None = No
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        working("languages")
         model = shared.value
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]

@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 from lodestra.llm.common import bucketed, outer_id, small_batches
 from lodestra.llm.perfect_hash import PerfectHash
+from lodestra.llm.workers import working
 
 MIN_CHARS, MIN_DOCS = 40, 5
 _STRIP = " \t\n\x0b\x0c\r"
@@ -51,6 +52,7 @@ def _as_words(digests: list[bytes]) -> np.ndarray:
 
 def _list_keys(min_chars: int, shards: int):
     def run(group: pa.Table) -> pa.Table:
+        working("lines")
         found: dict[bytes, list[int]] = {}
         ids, texts = group["__id"].to_pylist(), group["__text"]
         seen: set[tuple[bytes, int]] = set()

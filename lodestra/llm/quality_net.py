@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestra.llm.common import small_batches
+from lodestra.llm.workers import working
 
 CHUNK, WIDTH, STRIDE, EMBED, FILTERS = 256, 8, 2, 6, 24
 MAX_DOCS, TRAIN_CHUNKS, EPOCHS, BATCH, SEED = 4000, 8, 8, 64, 20240101
@@ -168,6 +169,7 @@ def score(docs: DataFrame, net: QualityNet, threshold: float = THRESHOLD) -> Dat
     shared = docs.sparkSession.sparkContext.broadcast(net)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        working("quality")
         for batch in batches:
             p = shared.value.scores([(t or "").encode() for t in batch.column(1).to_pylist()]) if batch.num_rows else np.zeros(0)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p, pa.float64()), pa.array((p >= threshold).astype(np.int32), pa.int32())], names=["doc_id", "score", "predicted"])

@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 
 from lodestra.llm.common import small_batches
 from lodestra.llm.merge_pairs import NEVER, PairTest
+from lodestra.llm.workers import working
 
 MARK = "▁"
 KEPT_UNITS = 800_000
@@ -116,6 +117,11 @@ class PieceModel:
             at = back[at]
         return out[::-1]
 
+    def forget(self) -> None:
+        self.kept.clear()
+        self.split.clear()
+        self.allowed.known.clear()
+
     def encode(self, text: str) -> bytes:
         """The ids as little-endian 32-bit numbers."""
         if not text:
@@ -151,6 +157,7 @@ def encode_pieces(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = piece_model(path)
+        working("pieces", model.forget)
         for batch in batches:
             codes = [model.encode(t or "") for t in batch.column(1).to_pylist()]
             ends = np.cumsum([0, *(len(c) // 4 for c in codes)]).astype(np.int32)
@@ -166,6 +173,7 @@ def decode_pieces(encoded: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = piece_model(path)
+        working("pieces", model.forget)
         for batch in batches:
             texts = [model.decode(x.values.to_numpy(zero_copy_only=False)) if x.is_valid else "" for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
@@ -181,6 +189,7 @@ def round_trip(docs: DataFrame, path: str, keep_pieces: bool = False) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = piece_model(path)
+        working("pieces", model.forget)
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             codes = [model.encode(t) for t in texts]

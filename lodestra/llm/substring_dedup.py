@@ -38,6 +38,7 @@ from pyspark.sql import functions as F
 from lodestra.llm.common import inner_id, outer_id, partitions, small_batches
 from lodestra.llm.fingerprints import range_bucket
 from lodestra.llm.kernels import blocks, span_hashes, window_hashes, words
+from lodestra.llm.workers import working
 
 WIDTH, ROWS_PER_BUCKET = 13, 1500
 _COMPARED = 1 << 18
@@ -144,6 +145,7 @@ def _schema(text: str) -> pa.Schema:
 
 def _send_edges(width: int, bits: int):
     def run(group: pa.Table) -> pa.Table:
+        working("substrings")
         _, texts, _ = _sorted(group)
         edges = np.unique(read_words(texts, width).hashes)
         out = {"__s": [], "__b": [], "edges": []}

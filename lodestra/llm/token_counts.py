@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 
 from lodestra.llm.common import small_batches
 from lodestra.llm.merge_pairs import NEVER, PairTest
+from lodestra.llm.workers import working
 
 CHUNK_CHARS = 4096
 LIMIT_TOKENS = 2048
@@ -105,6 +106,11 @@ class Transducer:
         self.defined = [(0, (_START,), (0,))]
         self.moves: list[dict[str, tuple[int, int]]] = [{}]
 
+    def forget_all(self) -> None:
+        self.words.clear()
+        self.allowed.known.clear()
+        self.forget()
+
     def move(self, state: int, symbol: str) -> tuple[int, int]:
         node, last, counts = self.defined[state]
         while node and symbol not in self.next[node]:
@@ -216,6 +222,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = LIMIT_TOKENS) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = counter(path)
+        working("tokens", machine.machine.forget_all)
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             tokens = [machine.count(t) for t in texts]
