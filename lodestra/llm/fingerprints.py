@@ -69,9 +69,10 @@ def _hex(high: str, low: str) -> Column:
 def fingerprint_rows(rows: DataFrame, keys: list[str], texts: dict[str, str]) -> DataFrame:
     """rows has `keys`, which tell rows apart and by whose first it is partitioned, and columns of text.
     texts names, for each column to make (two longs, <name>_1 and <name>_2), the column of text."""
-    each = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(name).alias("terms")) for k, name in enumerate(texts)]))
-    kinds = with_terms(rows, keys, texts).select(*keys, each.alias("__e"))
-    terms = kinds.select(*keys, F.col("__e.kind").alias("__kind"), F.posexplode_outer("__e.terms").alias("__at", "__h"))
+    # inline() and a plain column keep the arrays themselves out of the rows that posexplode() makes.
+    each = F.inline(F.array(*[F.struct(F.lit(k).alias("__kind"), F.col(name).alias("__terms")) for k, name in enumerate(texts)]))
+    kinds = with_terms(rows, keys, texts).select(*keys, each)
+    terms = kinds.select(*keys, "__kind", F.posexplode_outer("__terms").alias("__at", "__h"))
     terms = terms.withColumn("__piece", F.floor(F.coalesce(F.col("__at"), F.lit(0)) / _PIECE)).withColumn("__g", F.xxhash64("__h", F.lit(1)))
     terms = terms.withColumn("__g", F.when(F.col("__h").isNotNull(), F.col("__g")))
     pieces = terms.groupBy(*keys, "__kind", "__piece").agg(F.count("__h").alias("__n"), *(c.alias(f"__s{i}") for i, c in enumerate(_lanes())))
@@ -136,38 +137,46 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     )
 
 
-def _tables(fingerprint: str, radius: int, blocks: int) -> Column:
-    """(table, key) for each choice of blocks - radius of the blocks of hex digits."""
-    digits = BITS // 4
-    size = digits // blocks
-    parts = [F.substring(fingerprint, 1 + i * size, size if i < blocks - 1 else digits) for i in range(blocks)]
-    return F.array(*[F.struct(F.lit(t).alias("t"), F.xxhash64(F.lit(t), *[parts[i] for i in c]).alias("k")) for t, c in enumerate(combinations(range(blocks), blocks - radius))])
+def _long(digits: str, at: int) -> Column:
+    """Sixteen hex digits from place `at` on as a long."""
+    part = [F.conv(F.substring(digits, at + 8 * i, 8), 16, 10).cast("long") for i in (0, 1)]
+    return F.shiftleft(part[0], 32).bitwiseOR(part[1])
 
 
-def _distance(a: str, b: str) -> Column:
-    def long(c: str, at: int) -> Column:  # conv() gives an unsigned number; its low 64 bits are the long
-        return sum((F.shiftleft(F.conv(F.substring(c, at + 8 * i, 8), 16, 10).cast("long"), 32 * (1 - i)) for i in (0, 1)), F.lit(0).cast("long"))
-
-    return sum(F.bit_count(long(a, at).bitwiseXOR(long(b, at))) for at in (1, 17))
+def _masks(blocks: int) -> list[tuple[int, int]]:
+    """The bits of each block, in the high and in the low half, as signed longs."""
+    cuts = [BITS * i // blocks for i in range(blocks + 1)]
+    wide = [((1 << (BITS - a)) - 1) ^ ((1 << (BITS - b)) - 1) for a, b in zip(cuts, cuts[1:])]
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    return [(signed(w >> 64), signed(w & (1 << 64) - 1)) for w in wide]
 
 
 def within(queries: DataFrame, fingerprints: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
     """query and fingerprint, both distinct strings of hex digits, and their distance, for every pair of
-    different ones at most `radius` bits apart. Null fingerprints are in no pair."""
+    different ones at most `radius` bits apart. Null fingerprints are in no pair. A table row is three longs:
+    the two halves of a fingerprint and the hash of its right blocks, whose low bits name the table."""
     if not 0 <= radius < blocks:
         raise ValueError("there must be more blocks than wrong bits")
-
-    def keyed(df: DataFrame, name: str) -> DataFrame:
-        one = df.where(F.col("fingerprint").isNotNull()).select(F.col("fingerprint").alias(name)).distinct()
-        return one.select(name, F.explode(_tables(name, radius, blocks)).alias("x")).select(name, "x.t", "x.k")
-
-    q, f = keyed(queries, "query"), keyed(fingerprints, "fingerprint")
-    size = BITS // 4 // blocks
-    right = [F.substring("query", 1 + i * size, size if i < blocks - 1 else BITS // 4) == F.substring("fingerprint", 1 + i * size, size if i < blocks - 1 else BITS // 4) for i in range(blocks)]
-    first = F.coalesce(*[F.when(_all([right[i] for i in c]), F.lit(t)) for t, c in enumerate(combinations(range(blocks), blocks - radius))])
-    distance = _distance("query", "fingerprint")
-    met = q.alias("q").join(f.alias("f"), (F.col("q.t") == F.col("f.t")) & (F.col("q.k") == F.col("f.k")) & (F.col("query") != F.col("fingerprint")) & (distance <= radius) & (first == F.col("q.t")))
-    return met.select("query", "fingerprint", distance.alias("distance"))
+    masks = _masks(blocks)
+    tables = list(combinations(range(blocks), blocks - radius))
+    low = (1 << (len(tables) - 1).bit_length()) - 1
+
+    def keyed(df: DataFrame, x: str, y: str, k: str) -> DataFrame:
+        one = df.where(F.col("fingerprint").isNotNull()).select(_long("fingerprint", 1).alias(x), _long("fingerprint", 17).alias(y)).distinct()
+
+        def key(t: int, chosen: tuple[int, ...]) -> Column:
+            high_bits, low_bits = (sum(masks[i][h] for i in chosen) for h in (0, 1))
+            return F.xxhash64(F.lit(t), F.col(x).bitwiseAND(F.lit(high_bits).cast("long")), F.col(y).bitwiseAND(F.lit(low_bits).cast("long"))).bitwiseAND(F.lit(~low)).bitwiseOR(F.lit(t))
+
+        return one.select(x, y, F.explode(F.array(*[key(t, c) for t, c in enumerate(tables)])).alias(k))
+
+    q, f = keyed(queries, "qx", "qy", "qk"), keyed(fingerprints, "fx", "fy", "fk")
+    x, y = F.col("qx").bitwiseXOR(F.col("fx")), F.col("qy").bitwiseXOR(F.col("fy"))
+    distance = F.bit_count(x) + F.bit_count(y)
+    right = [(x.bitwiseAND(F.lit(h).cast("long")) == 0) & (y.bitwiseAND(F.lit(w).cast("long")) == 0) for h, w in masks]
+    first = F.coalesce(*[F.when(_all([right[i] for i in c]), F.lit(t)) for t, c in enumerate(tables)])
+    met = q.join(f, (F.col("qk") == F.col("fk")) & (distance > 0) & (distance <= radius) & (first == F.col("qk").bitwiseAND(F.lit(low))))
+    return met.select(_hex("qx", "qy").alias("query"), _hex("fx", "fy").alias("fingerprint"), distance.alias("distance"))
 
 
 def _all(conditions: list[Column]) -> Column:

@@ -19,10 +19,11 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The contract's columns, and for documents whose id is divisible by 100 the number of other distinct
     fingerprints of the table within the Hamming radius (null for the others)."""
     found = settled(spark, fingerprints.edited_fingerprints(table(spark, sf_dir, "documents")))
-    asked = found.where("doc_id % 100 = 0").select("fingerprint").distinct()
+    asks = F.coalesce(F.col("doc_id") % 100 == 0, F.lit(False))
+    asked = found.where(asks)
     near = fingerprints.within(asked, found).groupBy("query").agg(F.count(F.lit(1)).alias("n"))
-    near = asked.join(near, asked["fingerprint"] == near["query"], "left").select(asked["fingerprint"], F.coalesce("n", F.lit(0)).alias("n"))
-    return found.join(near, "fingerprint", "left").select(*found.columns, F.when(F.col("doc_id") % 100 == 0, F.col("n")).alias("n_near"))
+    counted = asked.join(near, asked["fingerprint"] == near["query"], "left").select(*(asked[c] for c in found.columns), F.coalesce("n", F.lit(0)).cast("bigint").alias("n_near"))
+    return counted.unionByName(found.where(~asks).withColumn("n_near", F.lit(None).cast("bigint")))
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
