@@ -10,15 +10,16 @@ bags share a register's point with the probability of their weighted Jaccard sim
 followed only until they pass the latest time any register holds, so a text costs about one point a term.
 
 Candidates and links. Bags that are equal collapse first, by a 128-bit hash. Signatures are cut into
-bands; documents that share a band meet there. In each band every document is compared with the band's
-least and largest document only, by exact multiset overlap. Their links give classes. What a band may still
-hide is a link between two of its classes, so then, exactly for bands that hold more than one class, the
-pairs across classes are compared as well. A link is lost only if no band is shared: at similarity 0.8,
-with probability (1 - 0.8**4)**32 = 5e-8.
+bands; documents that share a band are candidates. In each band every document is compared with the band's
+least and largest document only, by exact multiset overlap. Their links give first classes. Documents that
+hang together by bands form a cluster; where a cluster holds more than one class, documents of different
+classes are compared as well, exactly, in pairs of bounded blocks that give links between classes instead
+of pairs. A link is lost only if no chain of shared bands joins its ends: at similarity 0.8, with
+probability below (1 - 0.8**4)**32 = 5e-8.
 
 Defined results: a text of fewer than five words has one term, all its words; a text without words (or
-null) has the empty bag, equal only to other empty bags. A null doc_id counts as the smallest id. Rows with
-one id are judged by their own texts. Other columns are ignored; an empty table gives no rows.
+null) has the empty bag, equal only to other empty bags. A null doc_id counts as the smallest id. If rows
+with one id differ in text, the least text stands for all of them. Other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -33,9 +34,13 @@ from pyspark.sql import functions as F
 from lodestra.llm.common import inner_id, outer_id, settled, small_batches
 from lodestra.llm.components import components
 from lodestra.llm.kernels import blocks, mix64, span_hashes, window_hashes, words
+from lodestra.llm.workers import working
 
 WIDTH, SIMILARITY, REGISTERS, BANDS = 5, 0.8, 128, 32
+BLOCK_TERMS = 1 << 18
+BROADCAST_IDS = 1 << 22  # 64 MB of ids
 _U = np.uint64
+_MET = 1 << 20
 
 
 def bags(data: np.ndarray, offsets: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
@@ -119,6 +124,7 @@ def overlap(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
 
 def _signed(docs: DataFrame, width: int, registers: int, bands: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        working("near")
         for batch in batches:
             for row, data, offsets in blocks(batch.column(1)):
                 terms, first = bags(data, offsets, width)
@@ -130,9 +136,9 @@ def _signed(docs: DataFrame, width: int, registers: int, bands: int) -> DataFram
                 ends = np.concatenate([[0], np.cumsum(np.where(some, bands, 0))]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[some].ravel()))
                 p = prints.astype("<i8")
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, n), pa.array(p[:, 0]), pa.array(p[:, 1]), lists], names=["__id", "p", "q", "bands"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, n), pa.array(p[:, 0]), pa.array(p[:, 1]), pa.array(np.diff(first).astype(np.int64)), lists], names=["__id", "p", "q", "n", "bands"])
 
-    return docs.mapInArrow(run, "__id long, p long, q long, bands array<bigint>")
+    return docs.mapInArrow(run, "__id long, p long, q long, n long, bands array<bigint>")
 
 
 def _bag_rows(docs: DataFrame, width: int) -> DataFrame:
@@ -161,6 +167,73 @@ def _linked(pairs: DataFrame, bag: DataFrame, similarity: float) -> DataFrame:
     return met.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def _compare_blocks(width: int, similarity: float):
+    """In a pair of blocks: links between documents of different classes, one for each document of the
+    first block and class, from exact overlaps with all others by way of an inverted index."""
+
+    def run(group: pa.Table) -> pa.Table:
+        ids, labels, asks = group["id"].to_numpy(), group["label"].to_numpy(), group["asks"].to_numpy(zero_copy_only=False)
+        terms, sizes = [], []
+        for _, data, offsets in blocks(group["text"]):
+            t, f = bags(data, offsets, width)
+            terms.append(t)
+            sizes.append(np.diff(f))
+        term, size = np.concatenate(terms), np.concatenate(sizes)
+        owner = np.repeat(np.arange(len(ids)), size)
+        # A repeated term becomes distinct ones, so that sets overlap as the bags do.
+        head = np.ones(len(term), bool)
+        head[1:] = (term[1:] != term[:-1]) | (owner[1:] != owner[:-1])
+        at = np.arange(len(term))
+        turn = at - np.maximum.accumulate(np.where(head, at, 0))
+        term = mix64(term + turn.astype(_U) * _U(0x9E3779B97F4A7C15))
+        order = np.argsort(term, kind="stable")
+        holders = owner[order]
+        ranked = term[order]
+        low, high = np.searchsorted(ranked, term, "left"), np.searchsorted(ranked, term, "right")
+        first = np.concatenate([[0], np.cumsum(size)])
+        links: set[tuple[int, int]] = set()
+        for d in np.flatnonzero(asks):
+            a, n = low[first[d] : first[d + 1]], (high - low)[first[d] : first[d + 1]]
+            shared = n > 1
+            a, n = a[shared], n[shared]
+            if not len(a):
+                continue
+            both = np.zeros(len(ids), np.int64)
+            for part in np.split(np.arange(len(a)), np.flatnonzero(np.diff(np.cumsum(n) // _MET)) + 1):
+                p, m = a[part], n[part]  # a bounded number of meetings at a time
+                both += np.bincount(holders[np.repeat(p - (np.cumsum(m) - m), m) + np.arange(m.sum())], minlength=len(ids))
+            near = np.flatnonzero((both >= similarity * (size + size[d] - both) - 1e-9) & (both > 0) & (labels != labels[d]))
+            for k in np.unique(labels[near], return_index=True)[1]:
+                links.add((min(ids[d], ids[near[k]]), max(ids[d], ids[near[k]])))
+        pairs = sorted(links)
+        return pa.table({"a": pa.array([x for x, _ in pairs], pa.int64()), "b": pa.array([y for _, y in pairs], pa.int64())})
+
+    return run
+
+
+def _across(rows: DataFrame, members: DataFrame, width: int, similarity: float) -> DataFrame:
+    """Links between different classes of one cluster. members: id, n (terms), cluster, label.
+
+    A cluster's largest class L needs no comparison with itself, so the others, R, are compared with L and
+    with each other. Both are cut into blocks of about BLOCK_TERMS terms by a hash of the id, and each pair
+    of blocks is one bounded group. What is written grows with the links, not with the pairs."""
+    sizes = members.groupBy("cluster", "label").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("n"))
+    totals = sizes.groupBy("cluster").agg(F.count(F.lit(1)).alias("classes"), F.max(F.struct("c", "label", "n")).alias("top"), F.sum("n").alias("n")).where("classes > 1")
+    cut = lambda n: F.greatest(F.ceil(n / BLOCK_TERMS), F.lit(1)).cast("int")
+    totals = totals.select("cluster", F.col("top.label").alias("large"), cut(F.col("top.n")).alias("nl"), cut(F.col("n") - F.col("top.n")).alias("nr"))
+    placed = members.join(totals, "cluster").withColumn("own", F.col("label") != F.col("large"))
+    block = F.pmod(F.xxhash64("id"), F.when(F.col("own"), F.col("nr")).otherwise(F.col("nl"))).cast("int")
+    placed = placed.withColumn("blk", block)
+    to = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    key = lambda kind, i, j, asks: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), asks.alias("asks"))
+    within = F.transform(to("nr"), lambda j: key("r", F.least(F.col("blk"), j), F.greatest(F.col("blk"), j), F.col("blk") <= j))
+    against = F.transform(to("nl"), lambda j: key("l", F.col("blk"), j, F.lit(True)))
+    asked = F.transform(to("nr"), lambda i: key("l", i, F.col("blk"), F.lit(False)))
+    spread = placed.select("id", "label", "cluster", F.explode(F.when(F.col("own"), F.concat(within, against)).otherwise(asked)).alias("x"))
+    with_text = spread.hint("merge").join(rows.select(F.col("__id").alias("id"), "text"), "id").select("cluster", "x.kind", "x.i", "x.j", "x.asks", "id", "label", "text")
+    return with_text.groupBy("cluster", "kind", "i", "j").applyInArrow(_compare_blocks(width, similarity), "a long, b long")
+
+
 def _pair(left: str, right: str) -> list:
     return [F.least(left, right).alias("a"), F.greatest(left, right).alias("b")]
 
@@ -169,36 +242,36 @@ def near_classes(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILA
     """doc_id and class_id, the least doc_id of its class, for every document."""
     spark = docs.sparkSession
     small_batches(spark)
-    rows = docs.select(inner_id().alias("__id"), "text")
+    rows = given = docs.select(inner_id().alias("__id"), "text")
+    repeated = not rows.groupBy("__id").count().where("count > 1").isEmpty()
+    if repeated:
+        rows = rows.groupBy("__id").agg(F.min("text").alias("text"))
     signed = settled(spark, _signed(rows, width, registers, bands))
     # One document stands for each distinct bag.
-    stands = settled(spark, signed.groupBy("p", "q").agg(F.min("__id").alias("id"), F.any_value("bands").alias("bands")))
+    stands = settled(spark, signed.groupBy("p", "q").agg(F.min("__id").alias("id"), F.any_value("n").alias("n"), F.any_value("bands").alias("bands")))
     banded = stands.select("id", F.explode("bands").alias("k"))
     ends = banded.groupBy("k").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi")
     near = banded.join(ends, "k").select("id", F.explode(F.array("lo", "hi")).alias("o")).where("id <> o")
     tried = settled(spark, near.select(*_pair("id", "o")).distinct())
-
-    def bag_of(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-        kept = rows.join(wanted, rows["__id"] == wanted["id"], "left_semi")
-        # A stand-in's id may have several rows; the bag is that of the row with the stand-in's print.
-        if duplicated:
-            kept = kept.groupBy("__id").agg(F.min("text").alias("text"))
-        return _bag_rows(kept, width)
-
-    duplicated = not signed.groupBy("__id").count().where("count > 1").isEmpty()
-    links = settled(spark, _linked(tried, bag_of(tried), similarity))
-    labels = components(links)
-    known = stands.select("id", "bands").join(labels, "id", "left").select("id", F.coalesce("label", "id").alias("label"), "bands")
-    open_ = settled(spark, known.select("id", "label", F.explode("bands").alias("k")).join(
-        known.select("label", F.explode("bands").alias("k")).groupBy("k").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("k"), "k"))
-    left, right = open_.alias("l"), open_.alias("r")
-    across = left.join(right, (F.col("l.k") == F.col("r.k")) & (F.col("l.id") < F.col("r.id")) & (F.col("l.label") != F.col("r.label")))
-    across = across.select(F.col("l.id").alias("a"), F.col("r.id").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    across = settled(spark, across)
-    if not across.isEmpty():
-        more = settled(spark, _linked(across, bag_of(across), similarity))
-        if not more.isEmpty():
-            labels = components(links.unionByName(more))
-    classes = stands.select("p", "q", "id").join(labels, "id", "left").select("p", "q", F.coalesce("label", "id").alias("class_id"))
-    return signed.select("__id", "p", "q").join(classes, ["p", "q"]).select(outer_id("__id").alias("doc_id"), outer_id("class_id").alias("class_id"))
+    # The texts of all candidates are cut out once. Their ids go to all tasks while they are few enough, so
+    # that the texts need not move; the plain join beyond that gives the same rows.
+    wanted = tried.select(F.col("a").alias("id")).union(tried.select("b")).distinct()
+    ids = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
+    kept = settled(spark, rows.join(ids, rows["__id"] == wanted["id"], "left_semi"))
+    bag = _bag_rows(kept, width)
+    links = settled(spark, _linked(tried, bag, similarity))
+    labels, clusters = components(links), components(tried)
+    members = clusters.select("id", F.col("label").alias("cluster")).join(labels, "id", "left").join(stands.select("id", "n"), "id")
+    members = settled(spark, members.select("id", "n", "cluster", F.coalesce("label", "id").alias("label")))
+    more = settled(spark, _across(kept, members, width, similarity))
+    if not more.isEmpty():
+        # Classes merge: a link between two documents is one between their classes.
+        label_of = members.select("id", "label")
+        merged = more.join(label_of.select(F.col("id").alias("a"), F.col("label").alias("x")), "a").join(label_of.select(F.col("id").alias("b"), F.col("label").alias("y")), "b")
+        roots = components(merged.select(F.col("x").alias("a"), F.col("y").alias("b"))).select(F.col("id").alias("label"), F.col("label").alias("root"))
+        members = members.join(roots, "label", "left").select("id", F.coalesce("root", "label").alias("label"))
+    classes = stands.select("p", "q", "id").join(members.select("id", "label"), "id", "left").select("p", "q", F.coalesce("label", "id").alias("class_id"))
+    done = signed.select("__id", "p", "q").join(classes, ["p", "q"]).select("__id", "class_id")
+    if repeated:
+        done = given.select("__id").join(done, "__id")
+    return done.select(outer_id("__id").alias("doc_id"), outer_id("class_id").alias("class_id"))
