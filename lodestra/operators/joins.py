@@ -19,11 +19,23 @@ def overlap_join(a: DataFrame, b: DataFrame, a_low: str, a_high: str, b_low: str
     return met.where(kept).drop("__bin")
 
 
+def containment_classes(a: DataFrame, b: DataFrame, a_array: str, b_array: str) -> DataFrame:
+    """ax and bx, sorted distinct arrays: each array of a beside each non-empty array of b that it holds. Only
+    distinct arrays meet, and each of b's by its rarest element alone. Null elements are held by nothing."""
+    left = a.select(F.array_sort(F.array_distinct(a_array)).alias("ax")).distinct()
+    right = b.select(F.array_sort(F.array_distinct(b_array)).alias("bx")).distinct().where(~F.exists("bx", F.isnull))
+    held = left.select("ax", F.explode("ax").alias("__e"))
+    often = held.groupBy("__e").agg(F.count(F.lit(1)).alias("__c"))
+    rarest = right.select("bx", F.explode("bx").alias("__e")).join(often, "__e", "left").groupBy("bx").agg(F.min(F.struct(F.coalesce("__c", F.lit(0)), "__e"))["__e"].alias("__e"))
+    return held.join(rarest, "__e").where(F.size(F.array_except("bx", "ax")) == 0).select("ax", "bx")
+
+
 def containment_join(a: DataFrame, b: DataFrame, a_key: str, a_array: str, b_key: str, b_array: str) -> DataFrame:
-    """Keys of the pairs where a's array holds all elements of b's non-empty array."""
-    left = a.select(a_key, F.explode(F.array_distinct(a_array)).alias("__e"))
-    right = b.select(b_key, F.explode(F.array_distinct(b_array)).alias("__e"), F.size(F.array_distinct(b_array)).alias("__n"))
-    return left.join(right, "__e").groupBy(a_key, b_key, "__n").count().where("count = __n").select(a_key, b_key)
+    """Keys of the pairs where a's array holds all elements of b's non-empty array: the members of the pairs of
+    distinct arrays. Rows are made for pairs of the result only."""
+    left = a.select(a_key, F.array_sort(F.array_distinct(a_array)).alias("ax"))
+    right = b.select(b_key, F.array_sort(F.array_distinct(b_array)).alias("bx"))
+    return left.join(containment_classes(a, b, a_array, b_array), "ax").join(right, "bx").select(a_key, b_key)
 
 
 def natural_join(a: DataFrame, b: DataFrame, how: str = "inner") -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lodestra.functions.ordering import asc, desc
 from lodestra.operators import aggregates as agg
 from lodestra.operators import joins, recursive, windows
-from lodestra.queries.base import both, same
+from lodestra.queries.base import both, same, whole
 from lodestra.registry import query
 from lodestra.sources.readers import parquet
 
@@ -90,12 +90,19 @@ def join_natural(spark, sf_dir):
     with r as (select l_orderkey as k, min(l_linenumber) + l_orderkey * 3 as lo, min(l_linenumber) + l_orderkey * 3 + 5 + count(*) as hi from lineitem where l_orderkey < 400 group by l_orderkey)
     select a.k as a, b.k as b from r a join r b on a.lo < b.hi and b.lo < a.hi and a.k < b.k""")
 def join_range_overlap(spark, sf_dir):
-    r = parquet(spark, sf_dir, "lineitem").where("l_orderkey < 400").groupBy("l_orderkey").agg((F.min("l_linenumber") + F.col("l_orderkey") * 3).alias("lo"), (F.min("l_linenumber") + F.col("l_orderkey") * 3 + 5 + F.count(F.lit(1))).alias("hi"))
+    return _overlaps(parquet(spark, sf_dir, "lineitem").where("l_orderkey < 400"))
+
+
+def _overlaps(lines):
+    r = lines.groupBy("l_orderkey").agg((F.min("l_linenumber") + F.col("l_orderkey") * 3).alias("lo"), (F.min("l_linenumber") + F.col("l_orderkey") * 3 + 5 + F.count(F.lit(1))).alias("hi"))
     a = r.select(F.col("l_orderkey").alias("a"), F.col("lo").alias("alo"), F.col("hi").alias("ahi"))
     b = r.select(F.col("l_orderkey").alias("b"), F.col("lo").alias("blo"), F.col("hi").alias("bhi"))
     return joins.overlap_join(a, b, "alo", "ahi", "blo", "bhi", 8).where("a < b").select("a", "b")
 
 
+whole("join_range_overlap", " where l_orderkey < 400", lambda spark, sf_dir: _overlaps(parquet(spark, sf_dir, "lineitem")))
+
+
 @query("join_array_containment", """
     with s as (select l_orderkey as k, list(distinct l_linenumber) as xs from lineitem where l_orderkey < 150 group by l_orderkey)
     select a.k as a, b.k as b from s a join s b on list_has_all(a.xs, b.xs)""")
@@ -104,6 +111,17 @@ def join_array_containment(spark, sf_dir):
     return joins.containment_join(s.select(F.col("l_orderkey").alias("a"), F.col("xs").alias("ax")), s.select(F.col("l_orderkey").alias("b"), F.col("xs").alias("bx")), "a", "ax", "b", "bx")
 
 
+@query("join_array_containment_whole", """
+    with s as (select l_orderkey as k, list_sort(list(distinct l_linenumber)) as xs from lineitem group by l_orderkey), c as (select xs, count(*) as n from s group by xs)
+    select s.k as a, c.xs as held, c.n from s join c on list_has_all(s.xs, c.xs)""")
+def join_array_containment_whole(spark, sf_dir):
+    """Over all orders: each with every distinct array that its own holds, and how many orders have that array. An
+    order's own array is the longest of its rows, so this stands for all pairs, whose number grows with the square of the orders."""
+    s = parquet(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("a")).agg(F.array_sort(F.collect_set("l_linenumber")).alias("ax"))
+    c = s.groupBy(F.col("ax").alias("bx")).agg(F.count(F.lit(1)).alias("n"))
+    return s.join(joins.containment_classes(s, s, "ax", "ax"), "ax").join(c, "bx").select("a", F.col("bx").alias("held"), "n")
+
+
 # Aggregates
 
 same("agg_count_min_max", "select count(*) as n, count(o_custkey) as k, min(o_orderdate) as lo, max(o_orderpriority) as hi from orders")
