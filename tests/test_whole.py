@@ -33,3 +33,21 @@ def test_joins_see_all_orders(spark, small, name):
 def test_containment_whole_stands_for_all_pairs(spark, small):
     pairs = duck(small).execute("with s as (select l_orderkey as k, list(distinct l_linenumber) as xs from lineitem group by 1) select count(*) from s a join s b on list_has_all(a.xs, b.xs)").fetchone()[0]
     assert registry.QUERIES["join_array_containment_whole"](spark, small).agg(F.sum("n")).first()[0] == pairs
+
+
+@pytest.mark.parametrize("name", ["arr_introspection", "arr_edit", "arr_search", "arr_subscript_slice", "arr_compare", "srf_unnest", "srf_unnest_composite", "rng_accessors", "rng_operators"])
+def test_nested_sees_all_rows(spark, name):
+    folder = "/root/testdata/sf0.01"  # where ids go beyond every prefix
+    con = duck(folder)
+    table, key = ("orders", "o_orderkey") if name.startswith("rng") else ("lineitem", "l_orderkey")
+    t = registry.QUERIES[f"{name}_whole"](spark, folder)
+    n = con.execute(f"select count({'' if name.startswith('srf') else 'distinct '}{key}), max({key}) from {table}").fetchone()
+    assert tuple(t.agg(F.count("k"), F.max("k")).first()) == n
+
+
+@pytest.mark.parametrize("name", ["rng_set_operations", "rng_difference"])
+def test_range_sets_see_all_orders(spark, name):
+    folder = "/root/testdata/sf0.01"
+    con = duck(folder)
+    assert registry.QUERIES[f"{name}_whole"](spark, folder).where("k >= 2000").count() > 0
+    assert compare(spark, con, folder, registry.QUERIES[f"{name}_whole"], registry.ORACLE_SQL[f"{name}_whole"]) == ""
