@@ -52,3 +52,15 @@ def any_of(outer: DataFrame, inner: DataFrame, condition: Column) -> DataFrame:
 def all_of(outer: DataFrame, inner: DataFrame, condition: Column) -> DataFrame:
     """outer rows for which `x op ALL (inner)` holds: no inner row makes it false or unknown."""
     return outer.join(inner, ~condition | condition.isNull(), "left_anti")
+
+
+def compared(outer: DataFrame, inner: DataFrame, x: str, op: str, y: str, how: str) -> DataFrame:
+    """outer rows for which `x op ANY (select y from inner)` or `... ALL ...` holds, op one of < <= > >=: decided by
+    one row, inner's least and largest y and whether any is null."""
+    every = {"any": False, "all": True}[how]
+    least = {"<": every, "<=": every, ">": not every, ">=": not every}[op]  # the y that is hardest, or for ANY easiest, to meet
+    bound = inner.agg((F.min if least else F.max)(y).alias("__y"), F.count(F.lit(1)).alias("__n"), F.count(y).alias("__known"))
+    holds = F.expr(f"`{x}` {op} __y")
+    if every:
+        holds = (F.col("__n") == 0) | ((F.col("__n") == F.col("__known")) & holds)
+    return outer.join(F.broadcast(bound), holds, "left_semi")

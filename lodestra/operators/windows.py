@@ -45,3 +45,17 @@ def extreme_excluding_current(value: str, key: str, frame, fn: str = "max") -> C
 def filtered(fn, value: Column, condition: Column, frame) -> Column:
     """fn(value) FILTER (WHERE condition) OVER frame"""
     return fn(F.when(condition, value)).over(frame)
+
+
+def range_sum(df: DataFrame, partition: list[str], order: str, low: int, high: int, value: Column, name: str) -> DataFrame:
+    """df with the sum of value over (PARTITION BY partition ORDER BY order RANGE BETWEEN low AND high), order a
+    column of whole numbers: summed once for each of its values and given to the values in whose frame it lies, so
+    that no partition's rows have to meet in one task. The frame of a null is its peers."""
+    kind = df.schema[order].dataType
+    per = df.groupBy(*partition, order).agg(F.sum(value).alias("__s"))
+    frames = F.when(F.col(order).isNull(), F.array(F.lit(None).cast(kind))).otherwise(F.transform(F.sequence(F.lit(low), F.lit(high)), lambda d: (F.col(order) - d).cast(kind)))
+    keys = [*partition, order]
+    given = per.select(*partition, F.explode(frames).alias(order), "__s").groupBy(*keys).agg(F.sum("__s").alias(name))
+    given = given.select(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)), name)
+    same = [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)]
+    return df.join(given, same, "left").drop(*(f"__k{i}" for i in range(len(keys))))

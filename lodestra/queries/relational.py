@@ -44,6 +44,8 @@ same("coalesce_greatest_least", "select coalesce(a, b, 0) as c, greatest(a, b) a
 both("quantified_array", "select l_orderkey, l_linenumber, exists(array(1, 3, 5), x -> l_linenumber = x) as any_, forall(array(1, 3, 5), x -> l_linenumber >= x) as all_ from lineitem where l_orderkey < 200",
      "select l_orderkey, l_linenumber, l_linenumber = any([1, 3, 5]) as any_, l_linenumber >= 5 as all_ from lineitem where l_orderkey < 200")
 same("row_order_nulls", "select x, row_number() over (order by x desc nulls first) as rn from (values (3), (cast(null as int)), (1), (2)) t(x)")
+for _name, _cut in {"kleene_logic": "o_orderkey < 100", "like_ilike": "p_partkey <= 200", "case_forms": "o_orderkey <= 2000", "quantified_array": "l_orderkey < 200"}.items():
+    whole(_name, f" where {_cut}")
 
 
 @query("bind_parameters", "select o_orderkey, o_totalprice from orders where o_custkey = 7 and o_totalprice > 1000")
@@ -195,6 +197,14 @@ same("win_partition_nulls", "select k, v, count(*) over (partition by k) as n fr
 same("win_top_n_per_group", "select o_custkey, o_orderkey, rn from (select o_custkey, o_orderkey, row_number() over (partition by o_custkey order by o_totalprice desc, o_orderkey) as rn from orders) t where rn <= 3")
 
 
+def _range_frames(spark, sf_dir):
+    o = windows.range_sum(parquet(spark, sf_dir, "orders"), [], "o_custkey", -2, 1, F.lit(1), "n")
+    return windows.range_sum(o, ["o_orderstatus"], "o_custkey", -5, 0, F.col("o_orderkey"), "s").select("o_orderkey", "n", (F.col("s") + F.lit(0.0)).alias("s"))
+
+
+whole("win_range_frame", " where o_orderkey < 3000", _range_frames)
+
+
 @query("win_filter", "select o_orderkey, count(*) filter (where o_orderstatus = 'F') over (partition by o_custkey order by o_orderkey) as n, round(sum(o_totalprice) filter (where o_orderstatus = 'O') over (partition by o_custkey), 2) as s from orders")
 def win_filter(spark, sf_dir):
     w = Window.partitionBy("o_custkey")
@@ -260,14 +270,24 @@ same("sub_nested_derived", "select avg(n) as a from (select o_custkey, count(*)
 
 @query("sub_any", "select c_custkey from customer where c_acctbal < any (select s_acctbal from supplier where s_suppkey < 20)")
 def sub_any(spark, sf_dir):
-    s = parquet(spark, sf_dir, "supplier").where("s_suppkey < 20").select("s_acctbal")
-    return joins.any_of(parquet(spark, sf_dir, "customer"), s, F.col("c_acctbal") < F.col("s_acctbal")).select("c_custkey")
+    return _below_any(spark, sf_dir, parquet(spark, sf_dir, "supplier").where("s_suppkey < 20"))
+
+
+def _below_any(spark, sf_dir, suppliers):
+    return joins.compared(parquet(spark, sf_dir, "customer"), suppliers, "c_acctbal", "<", "s_acctbal", "any").select("c_custkey")
 
 
 @query("sub_all", "select c_custkey from customer where c_acctbal > all (select s_acctbal from supplier where s_suppkey < 20)")
 def sub_all(spark, sf_dir):
-    s = parquet(spark, sf_dir, "supplier").where("s_suppkey < 20").select("s_acctbal")
-    return joins.all_of(parquet(spark, sf_dir, "customer"), s, F.col("c_acctbal") > F.col("s_acctbal")).select("c_custkey")
+    return _above_all(spark, sf_dir, parquet(spark, sf_dir, "supplier").where("s_suppkey < 20"))
+
+
+def _above_all(spark, sf_dir, suppliers):
+    return joins.compared(parquet(spark, sf_dir, "customer"), suppliers, "c_acctbal", ">", "s_acctbal", "all").select("c_custkey")
+
+
+whole("sub_any", " where s_suppkey < 20", lambda spark, sf_dir: _below_any(spark, sf_dir, parquet(spark, sf_dir, "supplier")))
+whole("sub_all", " where s_suppkey < 20", lambda spark, sf_dir: _above_all(spark, sf_dir, parquet(spark, sf_dir, "supplier")))
 
 
 # Common table expressions and recursion

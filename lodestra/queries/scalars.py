@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import functions as F
 
 from lodestra.functions import numeric as num
 from lodestra.functions import regex as rx
 from lodestra.functions import temporal as tm
 from lodestra.functions import text as tx
-from lodestra.queries.base import both, same
+from lodestra.queries.base import both, same, whole
 from lodestra.registry import query
 from lodestra.sources.readers import parquet
 
@@ -23,6 +25,7 @@ same("num_float_order", "select x from (values (cast('NaN' as double)), (cast('I
 same("num_trigonometry", """select l_linenumber as k, round(sin(l_linenumber), 9) as a, round(cos(l_linenumber), 9) as b, round(tan(l_linenumber), 9) as c, round(cot(l_linenumber), 9) as d,
     round(atan(l_linenumber), 9) as e, round(atan2(l_linenumber, 2), 9) as f, round(radians(l_linenumber), 9) as g, round(degrees(l_linenumber), 9) as h, round(pi(), 9) as i,
     round(cbrt(l_linenumber), 9) as j, round(sinh(l_linenumber), 6) as l, round(cosh(l_linenumber), 6) as m, round(tanh(l_linenumber), 9) as n, round(asinh(l_linenumber), 9) as o from lineitem where l_orderkey < 100""")
+whole("num_trigonometry", " where l_orderkey < 100")
 same("num_width_bucket_case", "select o_orderkey, case when o_totalprice < 1000 then 0 when o_totalprice >= 100000 then 11 else floor((o_totalprice - 1000) / 9900) + 1 end as b from orders")
 
 
@@ -50,15 +53,19 @@ def num_exp_log(spark, sf_dir):
 
 
 @query("num_domain_functions", "select l_orderkey as k, l_linenumber as n, round(asin(l_discount), 9) as a, round(acos(l_discount), 9) as b, round(atanh(l_discount), 9) as c, round(acosh(l_linenumber), 9) as d from lineitem where l_orderkey < 500")
-def num_domain(spark, sf_dir):
+def num_domain(spark, sf_dir, ids="l_orderkey < 500"):
     d = col("l_discount")
-    return parquet(spark, sf_dir, "lineitem").where("l_orderkey < 500").select(col("l_orderkey").alias("k"), col("l_linenumber").alias("n"), F.round(num.asin(d), 9).alias("a"), F.round(num.acos(d), 9).alias("b"), F.round(num.atanh(d), 9).alias("c"), F.round(num.acosh(col("l_linenumber").cast("double")), 9).alias("d"))
+    return parquet(spark, sf_dir, "lineitem").where(ids).select(col("l_orderkey").alias("k"), col("l_linenumber").alias("n"), F.round(num.asin(d), 9).alias("a"), F.round(num.acos(d), 9).alias("b"), F.round(num.atanh(d), 9).alias("c"), F.round(num.acosh(col("l_linenumber").cast("double")), 9).alias("d"))
 
 
 @query("num_gcd_lcm_factorial", "select o_orderkey as k, gcd(o_orderkey, o_custkey) as g, lcm(o_orderkey, o_custkey) as l, cast(factorial(cast(o_custkey % 18 as integer)) as double) as f from orders where o_orderkey < 4000")
-def num_gcd(spark, sf_dir):
+def num_gcd(spark, sf_dir, ids="o_orderkey < 4000"):
     a, b = col("o_orderkey"), col("o_custkey")
-    return parquet(spark, sf_dir, "orders").where("o_orderkey < 4000").select(a.alias("k"), num.gcd(a, b).alias("g"), num.lcm(a, b).alias("l"), num.factorial(b % 18).cast("double").alias("f"))
+    return parquet(spark, sf_dir, "orders").where(ids).select(a.alias("k"), num.gcd(a, b).alias("g"), num.lcm(a, b).alias("l"), num.factorial(b % 18).cast("double").alias("f"))
+
+
+whole("num_domain_functions", " where l_orderkey < 500", partial(num_domain, ids="true"))
+whole("num_gcd_lcm_factorial", " where o_orderkey < 4000", partial(num_gcd, ids="true"))
 
 
 @query("num_width_bucket", "select o_orderkey as k, case when o_totalprice < 0 then 0 when o_totalprice >= 200000 then 9 else cast(floor(o_totalprice / 25000) as bigint) + 1 end as b from orders")
