@@ -16,14 +16,15 @@ WORD_BPE, PIECE_BPE = "word_bpe_49k.json", "piece_bpe_32k.model"
 
 
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The contract's columns, and for documents whose id is divisible by 100 the number of other distinct
-    fingerprints of the table within the Hamming radius (null for the others)."""
+    """The contract's columns, and for documents whose id is divisible by 100 the classes of equal fingerprints
+    within NEAR_RADIUS bits (near, its own class first) and the number of the other ones (n_near); both are null for
+    the rest. The matching documents are the rows that have a class's fingerprint."""
     found = settled(spark, fingerprints.edited_fingerprints(table(spark, sf_dir, "documents")))
     asks = F.coalesce(F.col("doc_id") % 100 == 0, F.lit(False))
     asked = found.where(asks)
-    near = fingerprints.within(asked, found).groupBy("query").agg(F.count(F.lit(1)).alias("n"))
-    counted = asked.join(near, asked["fingerprint"] == near["query"], "left").select(*(asked[c] for c in found.columns), F.coalesce("n", F.lit(0)).cast("bigint").alias("n_near"))
-    return counted.unionByName(found.where(~asks).withColumn("n_near", F.lit(None).cast("bigint")))
+    near = fingerprints.near_classes(asked, found)
+    seen = asked.join(near, asked["fingerprint"] == near["query"], "left").select(*(asked[c] for c in found.columns), (F.size("near") - 1).cast("bigint").alias("n_near"), "near")
+    return seen.unionByName(found.where(~asks), allowMissingColumns=True)
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -271,3 +271,30 @@ def test_pipeline_keeps_odd_rows(spark):
     assert kept.columns == docs.columns and kept.where("doc_id is null").count() == 1
     assert stages.lines(spark, docs, "").count() == docs.count()
     assert isinstance(pa.__version__, str)
+
+
+def test_near_classes_find_edited_copies(spark):
+    """Copies at similarity 0.8 of their five-word terms and equal ones are found, with their numbers; all pairs as by brute force."""
+    r = random.Random(8)
+    base = [[f"w{r.randrange(5000)}" for _ in range(400)] for _ in range(12)]
+    edited = [[*w] for w in base]
+    for w in edited:
+        for at in (50, 120, 190, 260, 330):
+            w[at] = "changed"
+    rows = [(i, " ".join(w)) for i, w in enumerate(base)] + [(100 + i, " ".join(w)) for i, w in enumerate(edited)] + [(200, " ".join(base[0]))]
+    found = fingerprints.edited_fingerprints(documents(spark, rows)).select("doc_id", "fingerprint").cache()
+    near = {x.query: [tuple(y) for y in x.near] for x in fingerprints.near_classes(found.where("doc_id < 12"), found).collect()}
+    of = {x.doc_id: x.fingerprint for x in found.collect()}
+    far = lambda a, b: bin(int(a, 16) ^ int(b, 16)).count("1")
+    count = lambda f: sum(x == f for x in of.values())
+    assert near == {of[i]: sorted((far(of[i], f), f, count(f)) for f in set(of.values()) if far(of[i], f) <= 28) for i in range(12)}
+    assert all(of[100 + i] in [f for _, f, _ in near[of[i]]] for i in range(12))
+    assert near[of[0]][0] == (0, of[0], 2)
+    assert any(far(of[i], of[100 + i]) > fingerprints.RADIUS for i in range(12))
+
+
+def test_fingerprint_query_returns_the_matching_classes(spark, small):
+    found = queries.op1_fingerprints(spark, small)
+    asked = found.where("near is not null").collect()
+    assert {x.doc_id % 100 for x in asked} == {0} and all(x.near[0].distance == 0 and x.near[0].fingerprint == x.fingerprint and x.n_near == len(x.near) - 1 for x in asked)
+    assert found.where("doc_id % 100 <> 0 and n_near is not null").count() == 0
