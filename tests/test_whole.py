@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from lodestra import queries, registry  # noqa: F401
 from lodestra.operators import joins, windows
+from lodestra.sources import sinks
 from tests.oracle import compare, duck
 
 
@@ -79,3 +80,11 @@ def test_range_sum_with_nulls_and_gaps(spark):
     frame = lambda p, k: [v for q, w, v in rows if q == p and v is not None and (k is None and w is None or None not in (k, w) and k - 2 <= w <= k + 1)]
     found = sorted(((r.p, r.k, r.v, r.s) for r in windows.range_sum(df, ["p"], "k", -2, 1, F.col("v"), "s").collect()), key=str)
     assert found == sorted(((p, k, v, sum(frame(p, k)) if frame(p, k) else None) for p, k, v in rows), key=str)
+
+
+def test_text_sinks_give_all_rows(spark):
+    df = spark.range(130).selectExpr("id as k")
+    assert sinks.aligned(df).splitlines()[-1] == "(130 rows)" and len(sinks.aligned(df).splitlines()) == 133
+    assert sinks.aligned(df, 100).splitlines()[-1] == "(100 rows, stopped)" and sinks.aligned(df, 130).splitlines()[-1] == "(130 rows)"
+    assert len(sinks.markdown(df).splitlines()) == 132 and len(sinks.csv_text(df).splitlines()) == 131
+    assert len(sinks.box(df).splitlines()) == 134 and sinks.json_text(df).count('"k"') == 130
