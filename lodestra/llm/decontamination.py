@@ -6,21 +6,28 @@ MIN_PIECE). It is split into k + 1 pieces: whatever k edits do, one piece stays
 pieces scans each whole text once; every piece hit gives one stretch of text that can hold the item, and
 Myers' bit-parallel distance decides it exactly.
 
-The items go to all tasks, in parts of at most PART_BYTES, one scan a part; documents are never shuffled.
+The items go to all tasks, in parts of at most PART_BYTES, one scan a part; the driver holds one part at a time,
+a Python worker builds a part's automaton once for all its tasks, and documents are never shuffled.
 
 Defined results: null and empty texts and items match nothing; items are told apart by item_id and text, so
 repeated items give repeated rows, as do repeated documents. An item shorter than MIN_PIECE is matched
-without edits. Positions count characters of the normalised text.
+without edits. Positions count characters of the normalised text. item_id may have any type; other columns,
+whatever their names, are ignored by leaks() and kept by clean(). Empty tables give no rows.
 """
 
 from __future__ import annotations
 
+import functools
+import uuid
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import ahocorasick
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from lodestra.llm.common import small_batches
 from lodestra.llm.workers import working
@@ -111,51 +118,62 @@ class Matcher:
         return [(self.items[n][0], *found[n]) for n in sorted(found)]
 
 
-def _parts(items: DataFrame, rate: float) -> list[list[tuple[object, str]]]:
-    """The normalised items in lists of bounded size; how many lists there are is known beforehand."""
+_matcher: dict[str, Matcher] = {}
+
+
+class Part(NamedTuple):
+    name: str
+    items: Broadcast
+
+
+def _worker_matcher(part: Part, rate: float) -> Matcher:
+    """The automaton of one part, built once a worker; another part takes its place."""
+    working("leaks", _matcher.clear)
+    if part.name not in _matcher:
+        _matcher.clear()
+        _matcher[part.name] = Matcher(part.items.value, rate)
+    return _matcher[part.name]
+
+
+def _parts(items: DataFrame) -> Iterator[Part]:
+    """The normalised items in broadcast lists of bounded size, one after the other."""
     kept = items.where(F.col("text").isNotNull()).select("item_id", "text")
     size = kept.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     parts = max(1, -(-int(size) // PART_BYTES))
-    split = [kept.where(F.pmod(F.xxhash64("text"), F.lit(parts)) == p) for p in range(parts)] if parts > 1 else [kept]
-    return [sorted(((r["item_id"], normal(r["text"])) for r in part.collect()), key=lambda x: (str(x[0]), x[1])) for part in split]
+    for p in range(parts):
+        rows = kept.where(F.pmod(F.xxhash64("text"), F.lit(parts)) == p).collect()
+        rows = sorted(((r["item_id"], normal(r["text"])) for r in rows), key=lambda x: (str(x[0]), x[1]))
+        yield Part(uuid.uuid4().hex, items.sparkSession.sparkContext.broadcast(rows))
 
 
 def leaks(docs: DataFrame, items: DataFrame, rate: float = RATE) -> DataFrame:
     """doc_id, item_id, distance, start_at and end_at for every document and item found in it."""
     small_batches(docs.sparkSession)
     id_type, item_type = dict(docs.dtypes)["doc_id"], dict(items.dtypes)["item_id"]
+    item_arrow = to_arrow_type(items.schema["item_id"].dataType)
     schema = f"doc_id {id_type}, item_id {item_type}, distance int, start_at long, end_at long"
 
-    def search(part: list[tuple[object, str]]) -> DataFrame:
-        shared = docs.sparkSession.sparkContext.broadcast(part)
-
+    def search(part: Part) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            working("leaks")
-            matcher = Matcher(shared.value, rate)
+            matcher = _worker_matcher(part, rate)
             for batch in batches:
                 rows = [(i, *hit) for i, text in enumerate(batch.column(1).to_pylist()) for hit in matcher.find(text)]
                 at, item, distance, start, end = zip(*rows) if rows else ((),) * 5
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(item, pa.int64() if item_type == "bigint" else None), pa.array(distance, pa.int32()), pa.array(start, pa.int64()), pa.array(end, pa.int64())], names=["doc_id", "item_id", "distance", "start_at", "end_at"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(item, item_arrow), pa.array(distance, pa.int32()), pa.array(start, pa.int64()), pa.array(end, pa.int64())], names=["doc_id", "item_id", "distance", "start_at", "end_at"])
 
         return docs.select("doc_id", "text").mapInArrow(run, schema)
 
-    found = [search(part) for part in _parts(items, rate)]
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out
+    return functools.reduce(DataFrame.unionByName, (search(part) for part in _parts(items)))
 
 
 def clean(docs: DataFrame, items: DataFrame, rate: float = RATE) -> DataFrame:
     """The documents, with all their columns, that hold no item."""
     small_batches(docs.sparkSession)
     place = docs.columns.index("text")
-    for part in _parts(items, rate):
-        shared = docs.sparkSession.sparkContext.broadcast(part)
+    for part in _parts(items):
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            working("leaks")
-            matcher = Matcher(shared.value, rate)
+        def run(batches: Iterator[pa.RecordBatch], part: Part = part) -> Iterator[pa.RecordBatch]:
+            matcher = _worker_matcher(part, rate)
             for batch in batches:
                 yield batch.filter(pa.array([not matcher.find(t) for t in batch.column(place).to_pylist()], pa.bool_()))
 

@@ -4,37 +4,38 @@ A line's key is the line stripped of `[\\x20\\x09-\\x0D]` at both ends with A-Z
 least `min_chars` code points that occurs in at least `min_docs` documents loses its lines in all
 documents but the one with the largest doc_id among those that hold it. All other lines stay.
 
-Three steps, none of which joins lines with lines:
-
-1. Each bucket of documents lists its distinct long keys once, as 128-bit hashes with the local number of
-   documents and largest doc_id. A line that a third of all documents share is one entry a bucket.
-2. Each shard of hashes builds a minimal perfect hash over its distinct keys. It indexes an array of
-   fingerprints (the other 64 bits), one of document counts and one of largest ids. The buckets' entries
-   probe these arrays and get back the ids of the frequent keys.
-3. Each bucket of documents meets its answers and drops lines.
-
-Shards and buckets grow in number with the rows. Recovery: every step is a Spark stage over shuffle files.
+1. Spark counts, for each distinct 128-bit key hash, the documents that hold it and the largest of their ids.
+   The rows are (hash, doc_id) pairs, so a line that a third of all documents share is spread by id and
+   combined before it meets.
+2. The distinct hashes are cut into shards of about SHARD_KEYS. Each shard builds a minimal perfect hash that
+   indexes three arrays: fingerprints (both words of the hash), document counts and largest ids.
+3. Buckets of documents, even in bytes, send each of their distinct keys once, as a row, to its shard. There the
+   keys probe the arrays; a key whose fingerprint agrees and whose count is large enough is answered with its
+   largest id. Lines are joined with lines nowhere, and rows grow with the keys, not with buckets times shards.
+4. Each bucket meets its answers and drops lines.
+
+Recovery: every step is a Spark stage over shuffle files or over the table of counts in the shared folder.
 
 Defined results: a null or empty text is one empty line and becomes ''. A null doc_id counts as the
-smallest id. Rows with one doc_id count as one document; each gives a row of its own. Other columns pass
-only if named in `carry`. An empty table gives no rows.
+smallest id; ids are whole numbers. Rows with one doc_id count as one document; each gives a row of its own.
+Other columns pass only if named in `carry`; where one has the name n_lines or n_dropped, the operator's own
+column gets an underscore more. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-
 import numpy as np
 import pyarrow as pa
 import xxhash
+from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestra.llm.common import bucketed, outer_id, small_batches
+from lodestra.llm.common import bucket_count, free_name, inner_id, outer_id, partitions, settled, small_batches
 from lodestra.llm.perfect_hash import PerfectHash
 from lodestra.llm.workers import working
 
-MIN_CHARS, MIN_DOCS = 40, 5
+MIN_CHARS, MIN_DOCS, SHARD_KEYS = 40, 5, 500_000
 _STRIP = " \t\n\x0b\x0c\r"
 
 
@@ -46,67 +47,70 @@ def line_key(line: str, min_chars: int) -> bytes | None:
     return xxhash.xxh3_128_digest(key.encode().lower())  # bytes.lower() touches A-Z alone
 
 
-def _as_words(digests: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(digests), dtype="<u8").reshape(-1, 2)
+def text_keys(text: str | None, min_chars: int) -> set[bytes]:
+    return {k for x in (text or "").split("\n") if (k := line_key(x, min_chars)) is not None}
+
+
+def _words(digests: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(digests), dtype="<i8").reshape(-1, 2)
+
+
+def _held(min_chars: int):
+    """Rows (k0, k1, id): each text's distinct keys."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        working("lines")
+        for batch in batches:
+            found = [text_keys(t.as_py(), min_chars) for t in batch.column(1)]
+            keys = _words([k for one in found for k in one])
+            ids = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), [len(one) for one in found])
+            yield pa.RecordBatch.from_arrays([pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array(ids, pa.int64())], names=["k0", "k1", "__id"])
+
+    return run
 
 
-def _list_keys(min_chars: int, shards: int):
+def _asked(min_chars: int):
+    """Rows (k0, k1, __b): a bucket's distinct keys."""
+
     def run(group: pa.Table) -> pa.Table:
         working("lines")
-        found: dict[bytes, list[int]] = {}
-        ids, texts = group["__id"].to_pylist(), group["__text"]
-        seen: set[tuple[bytes, int]] = set()
-        for doc, text in zip(ids, texts):
-            for key in {line_key(x, min_chars) for x in (text.as_py() or "").split("\n")} - {None}:
-                entry = found.setdefault(key, [0, doc])
-                if (key, doc) not in seen:
-                    seen.add((key, doc))
-                    entry[0] += 1
-                    entry[1] = max(entry[1], doc)
-        out = {"__s": [], "__b": [], "keys": [], "docs": [], "last": []}
-        if found:
-            keys = _as_words(list(found))
-            docs, last = (np.array([v[i] for v in found.values()], np.int64) for i in (0, 1))
-            shard = (keys[:, 0] % np.uint64(shards)).astype(np.int64)
-            order = np.argsort(shard, kind="stable")
-            for part in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1):
-                out["__s"].append(int(shard[part[0]]))
-                out["__b"].append(group["__b"][0].as_py())
-                out["keys"].append(keys[part].tobytes())
-                out["docs"].append(docs[part].tobytes())
-                out["last"].append(last[part].tobytes())
-        return pa.table(out, schema=_LISTED_ARROW)
+        keys = _words(list(set().union(*(text_keys(t.as_py(), min_chars) for t in group["__text"]))))
+        bucket = group["__b"][0].as_py()
+        return pa.table([pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array(np.full(len(keys), bucket, np.int32))], names=["k0", "k1", "__b"])
 
     return run
 
 
-_LISTED = "__s int, __b int, keys binary, docs binary, last binary"
-_LISTED_ARROW = pa.schema([("__s", pa.int32()), ("__b", pa.int32()), ("keys", pa.binary()), ("docs", pa.binary()), ("last", pa.binary())])
-_ANSWER = "__b int, keys binary, last binary"
-_ANSWER_ARROW = pa.schema([("__b", pa.int32()), ("keys", pa.binary()), ("last", pa.binary())])
+class LineIndex:
+    """A shard: a perfect hash over the distinct keys and the arrays that it indexes."""
 
+    def __init__(self, keys: np.ndarray, docs: np.ndarray, last: np.ndarray):
+        self.slots = PerfectHash(keys)
+        at = self.slots.slots(keys)
+        self.prints, self.docs, self.last = np.zeros_like(keys), np.zeros(len(keys), np.uint32), np.zeros(len(keys), np.int64)
+        self.prints[at], self.docs[at], self.last[at] = keys, np.minimum(docs, 2**32 - 1), last
+
+    def probe(self, keys: np.ndarray, min_docs: int) -> tuple[np.ndarray, np.ndarray]:
+        """Which keys at least min_docs documents hold, and the largest id for each of these."""
+        at = self.slots.slots(keys)
+        hit = (at >= 0) & (self.prints[at] == keys).all(1) & (self.docs[at] >= min_docs) if len(self.docs) else np.zeros(len(keys), bool)
+        return hit, self.last[at[hit]]
+
+
+_ANSWER = pa.schema([("__b", pa.int32()), ("key", pa.binary()), ("last", pa.int64())])
 
-def _answer(min_docs: int):
-    def run(group: pa.Table) -> pa.Table:
-        buckets = group["__b"].to_pylist()
-        keys = [np.frombuffer(x.as_py(), "<u8").reshape(-1, 2) for x in group["keys"]]
-        every = np.concatenate(keys)
-        index = PerfectHash(every[:, 0] ^ (every[:, 1] * np.uint64(3)))
-        prints = np.zeros(index.size, np.uint64)
-        counts, last = np.zeros(index.size, np.int64), np.full(index.size, -(2**63), np.int64)
-        slots = [index.slots(k[:, 0] ^ (k[:, 1] * np.uint64(3))) for k in keys]
-        for k, slot, n, top in zip(keys, slots, group["docs"], group["last"]):
-            prints[slot] = k[:, 1]
-            np.add.at(counts, slot, np.frombuffer(n.as_py(), np.int64))
-            np.maximum.at(last, slot, np.frombuffer(top.as_py(), np.int64))
-        out = {"__b": [], "keys": [], "last": []}
-        for bucket, k, slot in zip(buckets, keys, slots):
-            hit = (prints[slot] == k[:, 1]) & (counts[slot] >= min_docs)
-            if hit.any():
-                out["__b"].append(bucket)
-                out["keys"].append(k[hit].tobytes())
-                out["last"].append(last[slot[hit]].tobytes())
-        return pa.table(out, schema=_ANSWER_ARROW)
+
+def _pairs(table: pa.Table) -> np.ndarray:
+    return np.stack([table["k0"].to_numpy(), table["k1"].to_numpy()], 1).view(np.uint64)
+
+
+def _probe(min_docs: int):
+    def run(counts: pa.Table, asked: pa.Table) -> pa.Table:
+        working("lines")
+        keys = _pairs(asked)
+        hit, last = LineIndex(_pairs(counts), counts["docs"].to_numpy(), counts["last"].to_numpy()).probe(keys, min_docs)
+        raw = [k.tobytes() for k in keys[hit].astype("<u8")]
+        return pa.table([pa.array(asked["__b"].to_numpy()[hit], pa.int32()), pa.array(raw, pa.binary()), pa.array(last, pa.int64())], schema=_ANSWER)
 
     return run
 
@@ -119,26 +123,30 @@ def drop_lines(text: str, doc: int, last: dict[bytes, int], min_chars: int) -> t
 
 def _apply(min_chars: int, carry: list[str]):
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        last: dict[bytes, int] = {}
-        for keys, tops in zip(answers["keys"], answers["last"]):
-            raw = keys.as_py()
-            last.update(zip((raw[i : i + 16] for i in range(0, len(raw), 16)), np.frombuffer(tops.as_py(), np.int64).tolist()))
+        working("lines")
+        last = dict(zip(answers["key"].to_pylist(), answers["last"].to_pylist()))
         done = [drop_lines(t.as_py() or "", i, last, min_chars) for i, t in zip(docs["__id"].to_pylist(), docs["__text"])]
-        parts: Iterable[tuple] = zip(*done) if done else ((), (), ())
-        texts, lines, dropped = parts
+        texts, lines, dropped = zip(*done) if done else ((), (), ())
         return pa.table([docs["__id"], pa.array(texts, pa.string()), pa.array(lines, pa.int64()), pa.array(dropped, pa.int64()), *(docs[f"__c_{c}"] for c in carry)], names=["__id", "text", "n_lines", "n_dropped", *(f"__c_{c}" for c in carry)])
 
     return run
 
 
-def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, carry: list[str] | None = None) -> DataFrame:
+def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, carry: list[str] | None = None, shard_keys: int = SHARD_KEYS) -> DataFrame:
     """doc_id, text (the lines that stay), n_lines, n_dropped and the carried columns."""
     carry = carry or []
-    small_batches(docs.sparkSession)
-    plain = docs.select("doc_id", F.col("text").alias("__text"), *(F.col(c).alias(f"__c_{c}") for c in carry))
-    kept, n = bucketed(plain, ["__text", *(f"__c_{c}" for c in carry)])
-    listed = kept.select("__id", "__text", "__b").groupBy("__b").applyInArrow(_list_keys(min_chars, n), _LISTED)
-    answers = listed.groupBy("__s").applyInArrow(_answer(min_docs), _ANSWER)
+    spark = docs.sparkSession
+    small_batches(spark)
+    rows = docs.select(inner_id().alias("__id"), F.col("text").alias("__text"), *(F.col(c).alias(f"__c_{c}") for c in carry))
+    held = rows.select("__id", "__text").mapInArrow(_held(min_chars), "k0 long, k1 long, __id long")
+    counts = settled(spark, held.groupBy("k0", "k1").agg(F.count_distinct("__id").alias("docs"), F.max("__id").alias("last")))
+    shards = max(partitions(spark), -(-counts.count() // shard_keys))
+    shard = F.pmod(F.xxhash64("k0", "k1"), F.lit(shards)).cast("int").alias("__s")
+    n = bucket_count(rows, "__text")
+    kept = rows.withColumn("__b", F.pmod(F.xxhash64("__id", "__text"), F.lit(n)).cast("int")).repartition("__b")
+    asked = kept.select("__text", "__b").groupBy("__b").applyInArrow(_asked(min_chars), "k0 long, k1 long, __b int")
+    answers = counts.select("*", shard).groupBy("__s").cogroup(asked.select("*", shard).groupBy("__s")).applyInArrow(_probe(min_docs), "__b int, key binary, last long")
     kinds = "".join(f", `__c_{c}` {dict(docs.dtypes)[c]}" for c in carry)
     done = kept.groupBy("__b").cogroup(answers.groupBy("__b")).applyInArrow(_apply(min_chars, carry), f"__id long, text string, n_lines long, n_dropped long{kinds}")
-    return done.select(outer_id("__id").alias("doc_id"), "text", "n_lines", "n_dropped", *(F.col(f"__c_{c}").alias(c) for c in carry))
+    own = [F.col(n).alias(free_name(carry, n)) for n in ("n_lines", "n_dropped")]
+    return done.select(outer_id("__id").alias("doc_id"), "text", *own, *(F.col(f"__c_{c}").alias(c) for c in carry))

@@ -1,8 +1,9 @@
-"""A minimal perfect hash over 64-bit keys, built and probed with numpy.
+"""A minimal perfect hash over 128-bit keys (rows of two words), built and probed with numpy.
 
 Level by level, every key left picks a place in a bit array; keys alone in their place stay, the others
-go on to the next, smaller level (Limasset et al., 2017). A key's slot is the rank of its bit, so n keys
-get the slots 0..n-1. A key outside the set gets some slot or none: callers compare a fingerprint.
+go on to the next, smaller level (Limasset et al., 2017). A key's slot is the rank of its bit, so n distinct
+keys get the slots 0..n-1. Both words pick the place, so keys that agree in one word part at the next level.
+A key outside the set gets some slot or none: callers compare a fingerprint.
 """
 
 from __future__ import annotations
@@ -18,7 +19,8 @@ LEVELS = 48
 
 class PerfectHash:
     def __init__(self, keys: np.ndarray):
-        left, self.levels, base = np.unique(keys), [], 0
+        """keys: distinct rows of two 64-bit words."""
+        left, self.levels, base = keys, [], 0
         for level in range(LEVELS):
             if not len(left):
                 break
@@ -28,12 +30,14 @@ class PerfectHash:
             self.levels.append((size, alone, base + np.cumsum(alone) - 1))
             base += int(alone.sum())
             left = left[~alone[at]]
-        self.rest, self.base = left, base  # none in practice: keys that met in every level, found by bisection
+        # none in practice: keys that met others in every level
+        self.rest = {tuple(k): base + i for i, k in enumerate(left.tolist())}
         self.size = base + len(left)
 
     @staticmethod
     def _place(keys: np.ndarray, level: int, size: int) -> np.ndarray:
-        return (mix64(keys ^ mix64(np.array([level + 1], _U))) % _U(size)).astype(np.int64)
+        salt = mix64(np.array([level + 1], _U))
+        return (mix64(mix64(keys[:, 0] ^ salt) + keys[:, 1]) % _U(size)).astype(np.int64)
 
     def slots(self, keys: np.ndarray) -> np.ndarray:
         """The slot of each key; -1 for keys that are surely not in the set."""
@@ -45,8 +49,6 @@ class PerfectHash:
             open_ = open_[~hit]
             if not len(open_):
                 return out
-        if len(self.rest):
-            at = np.minimum(np.searchsorted(self.rest, keys[open_]), len(self.rest) - 1)
-            hit = self.rest[at] == keys[open_]
-            out[open_[hit]] = self.base + at[hit]
+        if self.rest:
+            out[open_] = [self.rest.get(tuple(k), -1) for k in keys[open_].tolist()]
         return out

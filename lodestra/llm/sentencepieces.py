@@ -31,8 +31,9 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructType
 
-from lodestra.llm.common import small_batches
+from lodestra.llm.common import free_name, small_batches
 from lodestra.llm.merge_pairs import NEVER, PairTest
 from lodestra.llm.workers import working
 
@@ -181,31 +182,36 @@ def decode_pieces(encoded: DataFrame, path: str) -> DataFrame:
     return encoded.select("doc_id", "pieces").mapInArrow(run, f"doc_id {dict(encoded.dtypes)['doc_id']}, text string")
 
 
-def round_trip(docs: DataFrame, path: str, keep_pieces: bool = False) -> DataFrame:
-    """Encodes and decodes every text in one pass: doc_id, n_pieces, pieces_sha256 (of the 32-bit
-    little-endian ids), decoded_sha256 (lowercase hex, UTF-8), lossless (the decoded text is the text)
-    and, if asked for, pieces."""
+def round_trip(docs: DataFrame, path: str, keep_pieces: bool = False, keep_columns: bool = False) -> DataFrame:
+    """Encodes and decodes every text in one pass: doc_id (or, if asked for, all columns of docs), n_pieces,
+    pieces_sha256 (of the 32-bit little-endian ids), decoded_sha256 (lowercase hex, UTF-8), lossless (the
+    decoded text is the text) and, if asked for, pieces. Where a kept column has one of these names, the new
+    column gets an underscore more."""
     small_batches(docs.sparkSession)
+    given = docs if keep_columns else docs.select("doc_id")
+    n = len(given.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = piece_model(path)
         working("pieces", model.forget)
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
+            texts = [t or "" for t in batch.column(n).to_pylist()]
             codes = [model.encode(t) for t in texts]
             ids = [np.frombuffer(c, "<i4") for c in codes]
             back = [model.decode(i) for i in ids]
-            columns = {
-                "doc_id": batch.column(0),
-                "n_pieces": pa.array([len(i) for i in ids], pa.int64()),
-                "pieces_sha256": pa.array([hashlib.sha256(c).hexdigest() for c in codes]),
-                "decoded_sha256": pa.array([hashlib.sha256(t.encode()).hexdigest() for t in back]),
-                "lossless": pa.array([a == b for a, b in zip(texts, back)]),
-            }
+            made = [
+                pa.array([len(i) for i in ids], pa.int64()),
+                pa.array([hashlib.sha256(c).hexdigest() for c in codes], pa.string()),
+                pa.array([hashlib.sha256(t.encode()).hexdigest() for t in back], pa.string()),
+                pa.array([a == b for a, b in zip(texts, back)], pa.bool_()),
+            ]
             if keep_pieces:
                 ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
-                columns["pieces"] = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(codes), "<i4"), pa.int32()))
-            yield pa.RecordBatch.from_pydict(columns)
-
-    schema = f"doc_id {dict(docs.dtypes)['doc_id']}, n_pieces long, pieces_sha256 string, decoded_sha256 string, lossless boolean"
-    return docs.select("doc_id", F.col("text")).mapInArrow(run, schema + (", pieces array<int>" if keep_pieces else ""))
+                made.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(codes), "<i4"), pa.int32())))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], *made], names=schema.fieldNames())
+
+    new = [("n_pieces", "long"), ("pieces_sha256", "string"), ("decoded_sha256", "string"), ("lossless", "boolean"), *([("pieces", ArrayType(IntegerType()))] if keep_pieces else [])]
+    schema = StructType(list(given.schema.fields))
+    for name, kind in new:
+        schema = schema.add(free_name(given.columns, name), kind)
+    return docs.select(*(docs[c] for c in given.columns), F.col("text").alias("__text")).mapInArrow(run, schema)

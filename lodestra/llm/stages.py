@@ -18,7 +18,7 @@ PIECES = "piece_bpe_32k.model"
 
 
 def _others(docs: DataFrame, *but: str) -> list[str]:
-    return [c for c in docs.columns if c not in ("doc_id", "text", *but)]
+    return [c for c in docs.columns if c.lower() not in ("doc_id", "text", *but)]
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,14 +32,14 @@ def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that five or more documents share stay in the last of them only; n_chars follows the text."""
     done = line_dedup.line_dedup(docs, carry=_others(docs, "n_chars"))
-    return done.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+    kinds = dict(docs.dtypes)
+    new = {"n_chars": F.char_length("text")}
+    return done.select(*(new.get(c.lower(), F.col(f"`{c}`")).cast(kinds[c]).alias(c) for c in docs.columns))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near duplicates the document with the least doc_id stays."""
-    classes = near_dedup.near_classes(docs)
-    stay = classes.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.coalesce("doc_id", F.lit(-(2**63))).alias("__id")).distinct()
-    return docs.withColumn("__id", F.coalesce("doc_id", F.lit(-(2**63)))).join(stay, "__id", "left_semi").select(*docs.columns)
+    """Of each class of near duplicates one row stays: that of the least doc_id, text and row."""
+    return near_dedup.one_of_each(docs)
 
 
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +49,7 @@ def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every text as SentencePiece ids, decoded again to see that nothing is lost."""
-    return sentencepieces.round_trip(docs, public_tokenizers.path(PIECES), keep_pieces=True)
+    return sentencepieces.round_trip(docs, public_tokenizers.path(PIECES), keep_pieces=True, keep_columns=True)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
