@@ -3,25 +3,28 @@
 A window is `width` consecutive words of one document: an edge of the graph whose nodes are runs of
 width - 1 words. A word goes if a window that covers it also starts in a document with a smaller doc_id.
 
-Documents are cut into buckets by ranges of doc_id, so a smaller bucket means smaller ids.
-
-1. Edges. Each bucket sends its distinct edges, as sorted 64-bit hashes with small gaps, to shards of the
-   hash space. A shard answers each bucket with the edges that a smaller bucket has too, and the first
-   bucket that has them. An edge that a third of all documents share is one entry a bucket.
-2. Paths. Edges that follow each other in a document and have one source bucket form a path; only the
-   first occurrence in a bucket stands for an edge. Each path goes, with its words, to its source bucket.
-3. Compaction and verification. There the path's edges get their source coordinates (document and word).
-   Stretches with consecutive coordinates do not branch: each is one repeated span, whose words are
-   compared with the source's, byte by byte. Edges that fail go back and count as not repeated there.
-4. Each bucket meets its answers and failures, judges repeats inside the bucket the same way, and drops
-   words.
+Documents lie in buckets, even in bytes, by a hash of id and text; a word's coordinate is its bucket and its
+place there. What a bucket says about an edge, it says once, however often it holds it.
+
+1. Anchors. An edge's anchor is the least hash of the short word runs in it, so equal edges have equal
+   anchors. Buckets send their distinct anchors; an edge whose anchor lies in one bucket alone can only be
+   repeated inside that bucket, and goes no further.
+2. Edges. All others become rows: hash, least id and coordinate in the bucket, and codes of the edges before
+   and after it. Where an edge's rows meet, the least (id, coordinate) is its source, and several different
+   edges before or after it mean that the node at that end has more than one edge in or out.
+3. Compaction. Edges that follow each other in a document, and whose sources do so too, form a path as long
+   as no node between them branches: neighbours on a nonbranching path follow each other in every document
+   that holds both, so their sources have consecutive coordinates. A path is one row from here on.
+4. Verification. Each distinct path fetches its words from its source bucket once; a join gives them to all the
+   paths' occurrences, and each bucket compares them with its own words, byte by byte. Repeats inside a
+   bucket are compared there. Covered words go.
 
 So no word is removed on the strength of a hash; one could only be missed where two windows with equal
-64-bit hashes have different words. All steps are joins and groups of buckets or shards whose number grows
-with the rows; all uses of the documents share one exchange.
+64-bit hashes have different words. Rows grow with the words: nothing is dealt to all buckets, nothing goes
+through the driver but two counts, and an edge or path has at most one row a bucket, however many documents hold it.
 
-Defined results: a null text has no words. A null doc_id counts as the smallest. Rows with equal ids are no
-reason to remove words from each other. Other columns are ignored. An empty table gives no rows.
+Defined results: a null text has no words. A null doc_id counts as the smallest; ids are whole numbers. Rows with
+equal ids are no reason to remove words from each other. Other columns are ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -32,22 +35,22 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestra.llm.common import inner_id, outer_id, partitions, small_batches
-from lodestra.llm.fingerprints import range_bucket
+from lodestra.llm.common import bucket_count, inner_id, outer_id, small_batches
 from lodestra.llm.kernels import blocks, span_hashes, window_hashes, words
 from lodestra.llm.workers import working
 
-WIDTH, ROWS_PER_BUCKET = 13, 1500
+WIDTH, ANCHOR_WORDS = 13, 5
 _COMPARED = 1 << 18
+_SEVERAL = 255
 _U = np.uint64
 
 
 @dataclass
 class Words:
-    """Texts as words: their bytes, each text's first word, the windows' hashes, first words and texts."""
+    """Texts as words: their bytes, each text's first word, the windows' hashes, first words, texts and anchors."""
 
     data: np.ndarray
     starts: np.ndarray
@@ -56,24 +59,42 @@ class Words:
     hashes: np.ndarray
     at: np.ndarray
     text: np.ndarray
+    anchors: np.ndarray
+
+
+def least_runs(hashes: np.ndarray, first: np.ndarray, width: int) -> np.ndarray:
+    """For each word, the least hash of the short runs among the `width` words that begin there (for words
+    that begin a window; of no meaning for others)."""
+    short = min(ANCHOR_WORDS, width)
+    runs, at = window_hashes(hashes, first, short)
+    least = np.full(len(hashes), 2**64 - 1, _U)
+    least[at] = runs
+    seen, want = 1, width - short + 1
+    while seen < want:
+        step = min(seen, want - seen)
+        least[:-step] = np.minimum(least[:-step], least[step:])
+        seen += step
+    return least
 
 
 def read_words(texts: pa.Array, width: int) -> Words:
-    data, starts, ends, first, hashes, at = [], [], [], [np.zeros(1, np.int64)], [], []
+    data, starts, ends, first, hashes, at, anchors = [], [], [], [np.zeros(1, np.int64)], [], [], []
     n_bytes = n_words = 0
     for _, raw, offsets in blocks(texts):
         s, e, f = words(raw, offsets)
-        h, a = window_hashes(span_hashes(raw, s, e), f, width)
+        each = span_hashes(raw, s, e)
+        h, a = window_hashes(each, f, width)
         data.append(raw)
         starts.append(s + n_bytes)
         ends.append(e + n_bytes)
         first.append(f[1:] + n_words)
         hashes.append(h)
         at.append(a + n_words)
+        anchors.append(least_runs(each, f, width)[a])
         n_bytes, n_words = n_bytes + len(raw), n_words + len(s)
     join = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
     first_, at_ = np.concatenate(first), join(at, np.int64)
-    return Words(join(data, np.uint8), join(starts, np.int64), join(ends, np.int64), first_, join(hashes, _U), at_, np.searchsorted(first_, at_, "right") - 1)
+    return Words(join(data, np.uint8), join(starts, np.int64), join(ends, np.int64), first_, join(hashes, _U), at_, np.searchsorted(first_, at_, "right") - 1, join(anchors, _U))
 
 
 def same_words(a: Words, i: np.ndarray, b: Words, j: np.ndarray) -> np.ndarray:
@@ -109,199 +130,174 @@ def verified(a: Words, windows: np.ndarray, b: Words, sources: np.ndarray, width
     return sums[start + width] == sums[start]
 
 
-def pack(values: np.ndarray) -> bytes:
-    """Sorted distinct 64-bit numbers: the first, then the gaps in as many bytes as the largest needs."""
-    gaps = np.diff(values)
-    size = max(1, (int(gaps.max()).bit_length() + 7) // 8) if len(gaps) else 1
-    return bytes([size]) + values[:1].astype("<u8").tobytes() + gaps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size].tobytes()
-
-
-def unpack(raw: bytes) -> np.ndarray:
-    size = raw[0]
-    body = np.frombuffer(raw, np.uint8, offset=9).reshape(-1, size)
-    gaps = np.zeros((len(body) + 1, 8), np.uint8)
-    gaps[0] = np.frombuffer(raw, np.uint8, 8, 1)
-    gaps[1:, :size] = body
-    return np.cumsum(gaps.view("<u8").ravel(), dtype=_U)
-
-
-def _sorted(group: pa.Table) -> tuple[np.ndarray, pa.Array, np.ndarray]:
-    """Ids and texts in one order on every run, and each row's rank by id alone."""
+def _sorted(group: pa.Table) -> tuple[np.ndarray, pa.Array]:
+    """Ids and texts in one order on every run."""
     order = pa.compute.sort_indices(group.select(["__id", "__text"]), [("__id", "ascending"), ("__text", "ascending")])
-    ids = group["__id"].take(order).to_numpy()
     texts = pa.chunked_array([group["__text"].cast(pa.large_string()).combine_chunks()]).take(order).combine_chunks()
-    return ids, texts, np.searchsorted(ids, ids, "left")
+    return group["__id"].take(order).to_numpy(), texts
 
 
-_EDGES = "__s int, __b int, edges binary"
-_FACTS = "__b int, kind int, at binary, source binary"
-_PATHS = "__b int, owner int, first long, words binary"
+def _base(bucket: int) -> int:
+    """The coordinate of a bucket's first word."""
+    return int(bucket) << 32
 
 
-def _schema(text: str) -> pa.Schema:
-    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "string": pa.string()}
-    return pa.schema([(n, kinds[k]) for n, k in (x.split() for x in text.split(", "))])
-
-
-def _send_edges(width: int, bits: int):
+def _send_anchors(width: int):
     def run(group: pa.Table) -> pa.Table:
         working("substrings")
-        _, texts, _ = _sorted(group)
-        edges = np.unique(read_words(texts, width).hashes)
-        out = {"__s": [], "__b": [], "edges": []}
-        shard = (edges >> _U(64 - bits)).astype(np.int64) if bits else np.zeros(len(edges), np.int64)
-        for part in np.split(np.arange(len(edges)), np.flatnonzero(np.diff(shard)) + 1) if len(edges) else []:
-            out["__s"].append(int(shard[part[0]]))
-            out["__b"].append(group["__b"][0].as_py())
-            out["edges"].append(pack(edges[part[0] : part[-1] + 1]))
-        return pa.table(out, schema=_schema(_EDGES))
+        anchors = np.unique(read_words(_sorted(group)[1], width).anchors).view(np.int64)
+        return pa.table({"anchor": anchors, "__b": np.full(len(anchors), group["__b"][0].as_py(), np.int32)})
 
     return run
 
 
-def _answer(group: pa.Table) -> pa.Table:
-    rows = sorted(zip(group["__b"].to_pylist(), group["edges"]), key=lambda x: x[0])
-    values = [unpack(raw.as_py()) for _, raw in rows]
-    sizes = [len(v) for v in values]
-    every, owner = np.concatenate(values), np.repeat([b for b, _ in rows], sizes)
-    order = np.argsort(every, kind="stable")
-    ranked = every[order]
-    head = np.ones(len(every), bool)
-    head[1:] = ranked[1:] != ranked[:-1]
-    source = np.empty(len(every), np.int64)
-    source[order] = owner[order][np.flatnonzero(head)[np.cumsum(head) - 1]]
-    out = {"__b": [], "kind": [], "at": [], "source": []}
-    base = 0
-    for (bucket, _), size, own in zip(rows, sizes, values):
-        found = source[base : base + size]
-        hit = np.flatnonzero(found < bucket)
-        if len(hit):
-            # the shard is known by the edges themselves: their hashes' places follow from the first one
-            out["__b"].append(bucket)
-            out["kind"].append(0)
-            out["at"].append(own[:1].tobytes() + hit.astype("<u4").tobytes())
-            out["source"].append(found[hit].astype("<i4").tobytes())
-        base += size
-    return pa.table(out, schema=_schema(_FACTS))
-
-
-class Bucket:
-    """A bucket's texts with what the shards said about its edges."""
-
-    def __init__(self, docs: pa.Table, facts: pa.Table, width: int):
-        self.width = width
-        self.ids, self.texts, self.rank = _sorted(docs)
-        self.words = w = read_words(self.texts, width)
-        self.edges, self.head, self.edge = np.unique(w.hashes, return_index=True, return_inverse=True)
-        self.source = np.full(len(self.edges), -1, np.int64)
-        for kind, at, source in zip(facts["kind"].to_pylist(), facts["at"], facts["source"]):
-            if kind == 0:
-                raw = at.as_py()
-                base = int(np.searchsorted(self.edges, np.frombuffer(raw, _U, 1)[0]))
-                self.source[base + np.frombuffer(raw, "<u4", offset=8).astype(np.int64)] = np.frombuffer(source.as_py(), "<i4")
-        for kind, at in zip(facts["kind"].to_pylist(), facts["at"]):
-            if kind == 1:
-                self.source[self.edge[np.frombuffer(at.as_py(), "<i8")]] = -1
-
-    def paths(self) -> pa.Table:
-        """First occurrences of edges whose source is another bucket, in runs, with their words."""
-        w = self.words
-        mine = np.flatnonzero(self.head[self.edge] == np.arange(len(self.edge)))
-        mine = mine[self.source[self.edge[mine]] >= 0]
-        source = self.source[self.edge[mine]]
-        cut = np.ones(len(mine), bool)
-        if len(mine):
-            cut[1:] = (np.diff(mine) != 1) | (np.diff(source) != 0) | (np.diff(w.text[mine]) != 0)
-        begin = np.flatnonzero(cut)
-        end = np.append(begin[1:], len(mine)) - 1
-        spans = [w.data[w.starts[w.at[mine[b]]] : w.ends[w.at[mine[e]] + self.width - 1]].tobytes() for b, e in zip(begin, end)]
-        return pa.table({"__b": source[begin].astype(np.int32), "owner": pa.nulls(len(begin), pa.int32()), "first": mine[begin].astype(np.int64), "words": pa.array(spans, pa.binary())}, schema=_schema(_PATHS))
-
-    def removed(self) -> np.ndarray:
-        """The words that go."""
-        w = self.words
-        every = np.arange(len(self.edge))
-        head = self.head[self.edge]
-        copies = np.flatnonzero(head != every)
-        alike = np.ones(len(every), bool)
-        alike[copies] = verified(w, copies, w, head[copies], self.width)
-        gone = alike & ((self.source[self.edge] >= 0) | (self.rank[w.text] > self.rank[w.text[head]]))
-        cover = np.zeros(len(w.starts) + 1, np.int64)
-        np.add.at(cover, w.at[gone], 1)
-        np.add.at(cover, w.at[gone] + self.width, -1)
-        return np.cumsum(cover[:-1]) > 0
-
-
-def _find_paths(width: int):
-    def run(key: tuple, docs: pa.Table, facts: pa.Table) -> pa.Table:
-        if not docs.num_rows or not facts.num_rows:
-            return _schema(_PATHS).empty_table()
-        out = Bucket(docs, facts, width).paths()
-        return out.set_column(1, "owner", pa.array([key[0].as_py()] * out.num_rows, pa.int32()))
+def neighbours(w: Words, edge: np.ndarray, n: int, step: int) -> np.ndarray:
+    """For each distinct edge a code of the edges before it (step -1) or after it (1): 0 for none,
+    _SEVERAL for several, else a byte of the only one's hash."""
+    code = np.zeros(len(edge), np.int64)
+    near = np.flatnonzero(w.text[1:] == w.text[:-1])
+    here, there = (near + 1, near) if step < 0 else (near, near + 1)
+    code[here] = 1 + (w.hashes[there] >> _U(56)).astype(np.int64) % (_SEVERAL - 1)
+    most, least = np.zeros(n, np.int64), np.full(n, _SEVERAL, np.int64)
+    np.maximum.at(most, edge, code)
+    np.minimum.at(least, edge, np.where(code > 0, code, _SEVERAL))
+    return np.where((most > 0) & (least < most), _SEVERAL, most)
+
+
+def _send_edges(width: int):
+    def run(docs: pa.Table, met: pa.Table) -> pa.Table:
+        working("substrings")
+        out = {k: np.zeros(0, np.int64) for k in ("edge", "id", "at", "near")}
+        if docs.num_rows and met.num_rows:
+            ids, texts = _sorted(docs)
+            w = read_words(texts, width)
+            edges, head, edge = np.unique(w.hashes, return_index=True, return_inverse=True)
+            asked = np.sort(met["anchor"].to_numpy().view(_U))
+            anchor = w.anchors[head]
+            go = asked[np.minimum(np.searchsorted(asked, anchor), len(asked) - 1)] == anchor
+            near = neighbours(w, edge, len(edges), -1) << 8 | neighbours(w, edge, len(edges), 1)
+            # in the order of the text, which packs well
+            go = np.flatnonzero(go)
+            go = go[np.argsort(head[go])]
+            out = {"edge": edges[go].view(np.int64), "id": ids[w.text[head[go]]], "at": w.at[head[go]] + _base(docs["__b"][0].as_py()), "near": near[go]}
+        return pa.table(out | {"near": out["near"].astype(np.int32)})
 
     return run
 
 
-def _check_paths(width: int):
+def _send_paths(width: int):
+    """Each path's words, from its source bucket."""
+
     def run(docs: pa.Table, paths: pa.Table) -> pa.Table:
-        out = {"__b": [], "kind": [], "at": [], "source": []}
+        working("substrings")
+        spans: list[bytes] = []
         if docs.num_rows and paths.num_rows:
-            _, texts, _ = _sorted(docs)
-            here = read_words(texts, width)
-            edges, head = np.unique(here.hashes, return_index=True)
-            there = read_words(pa.array([p.as_py().decode() for p in paths["words"]], pa.large_string()), width)
-            if len(there.hashes):
-                place = np.minimum(np.searchsorted(edges, there.hashes), len(edges) - 1)
-                ok = edges[place] == there.hashes
-                known = np.flatnonzero(ok)
-                ok[known] = verified(there, known, here, head[place[known]], width)
-                owner, first = paths["owner"].to_numpy(), paths["first"].to_numpy()
-                begins = np.searchsorted(there.text, np.arange(paths.num_rows))
-                for k in np.flatnonzero(~ok):
-                    path = there.text[k]
-                    out["__b"].append(int(owner[path]))
-                    out["kind"].append(1)
-                    out["at"].append(np.array([first[path] + k - begins[path]], "<i8").tobytes())
-                    out["source"].append(b"")
-        return pa.table(out, schema=_schema(_FACTS))
+            starts, ends, data = [], [], []
+            size = 0
+            for _, raw, offsets in blocks(_sorted(docs)[1]):
+                s, e, _ = words(raw, offsets)
+                starts.append(s + size)
+                ends.append(e + size)
+                data.append(raw)
+                size += len(raw)
+            start, end, data = np.concatenate(starts), np.concatenate(ends), np.concatenate(data)
+            at = paths["source"].to_numpy() - _base(docs["__b"][0].as_py())
+            spans = [data[start[i] : end[i + n + width - 2]].tobytes() for i, n in zip(at.tolist(), paths["n"].to_pylist())]
+        else:
+            paths = paths.slice(0, 0)
+        return pa.table([paths["source"], paths["n"], pa.array(spans, pa.binary())], names=["source", "n", "words"])
 
     return run
 
 
+def removed(ids: np.ndarray, w: Words, base: int, facts: pa.Table, width: int) -> np.ndarray:
+    """The words of a bucket that go. facts: at, n and words of the paths whose sources have smaller ids."""
+    edges, head, edge = np.unique(w.hashes, return_index=True, return_inverse=True)
+    window = np.full(len(w.starts) + 1, -1, np.int64)
+    window[w.at] = np.arange(len(w.at))
+    elsewhere = np.zeros(len(edges), bool)
+    if facts.num_rows:
+        source = read_words(pa.array([x.as_py().decode() for x in facts["words"]], pa.large_string()), width)
+        # A path of n edges is one text of n windows.
+        n = np.diff(np.searchsorted(source.text, np.arange(facts.num_rows + 1)))
+        at = facts["at"].to_numpy() - base
+        mine = np.repeat(window[at], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        same = verified(w, mine, source, np.arange(len(source.at)), width)
+        elsewhere[edge[mine[same]]] = True
+    every = np.arange(len(edge))
+    first = head[edge]
+    copies = np.flatnonzero(first != every)
+    alike = np.ones(len(every), bool)
+    alike[copies] = verified(w, copies, w, first[copies], width)
+    gone = alike & (elsewhere[edge] | (ids[w.text] > ids[w.text[first]]))
+    cover = np.zeros(len(w.starts) + 1, np.int64)
+    np.add.at(cover, w.at[gone], 1)
+    np.add.at(cover, w.at[gone] + width, -1)
+    return np.cumsum(cover[:-1]) > 0
+
+
 def _finish(width: int, with_text: bool):
     def run(docs: pa.Table, facts: pa.Table) -> pa.Table:
-        bucket = Bucket(docs, facts, width)
-        gone, first = bucket.removed(), bucket.words.first
+        working("substrings")
+        ids, texts = _sorted(docs)
+        w = read_words(texts, width)
+        gone = removed(ids, w, _base(docs["__b"][0].as_py()) if docs.num_rows else 0, facts, width)
         sums = np.concatenate([[0], np.cumsum(gone)])
-        counts = np.diff(first)
-        lost = sums[first[1:]] - sums[first[:-1]]
+        lost = sums[w.first[1:]] - sums[w.first[:-1]]
         kept = []
-        for i, text in enumerate(bucket.texts):
+        for i, text in enumerate(texts):
             own = (text.as_py() or "").encode().split()
             if lost[i]:
-                own = [x for x, g in zip(own, gone[first[i] : first[i + 1]].tolist()) if not g]
+                own = [x for x, g in zip(own, gone[w.first[i] : w.first[i + 1]].tolist()) if not g]
             kept.append(b" ".join(own))
-        columns = {"__id": bucket.ids, "n_words": counts, "n_removed": lost, "kept_sha256": [hashlib.sha256(k).hexdigest() for k in kept]}
-        if with_text:
-            columns["text"] = [k.decode() for k in kept]
-        return pa.table(columns, schema=_schema("__id long, n_words long, n_removed long, kept_sha256 string" + ", text string" * with_text))
+        columns = {"__id": ids, "n_words": np.diff(w.first), "n_removed": lost, "kept_sha256": pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string())}
+        return pa.table(columns | ({"text": pa.array([k.decode() for k in kept], pa.string())} if with_text else {}))
 
     return run
 
 
+def repeated_edges(edges: DataFrame) -> DataFrame:
+    """From rows edge, id, at and near: at and source of the edges whose source has a smaller id, and whether
+    the node before (fork_in) or after it (fork_out) branches."""
+    same = Window.partitionBy("edge")
+    source = F.min(F.struct("id", "at")).over(same)
+
+    def forks(code) -> F.Column:
+        return F.coalesce((F.max(code).over(same) == _SEVERAL) | (F.min(F.when(code > 0, code)).over(same) != F.max(code).over(same)), F.lit(False))
+
+    met = edges.select("id", "at", source.alias("s"), forks(F.shiftright("near", 8)).alias("fork_in"), forks(F.col("near").bitwiseAND(F.lit(255))).alias("fork_out"))
+    return met.where(F.col("s.id") < F.col("id")).select("at", F.col("s.at").alias("source"), "fork_in", "fork_out")
+
+
+def compacted(met: DataFrame) -> DataFrame:
+    """at, source and n of the paths: runs of edges whose own and source coordinates are consecutive, up to the
+    nodes that branch."""
+    line = Window.partitionBy("shift").orderBy("at")
+    begins = F.coalesce((F.lag("at").over(line) + 1 != F.col("at")) | F.col("fork_in") | F.lag("fork_out").over(line), F.lit(True))
+    runs = met.withColumn("shift", F.col("at") - F.col("source")).withColumn("begins", begins)
+    runs = runs.withColumn("run", F.sum(F.col("begins").cast("int")).over(line))
+    return runs.groupBy("shift", "run").agg(F.min("at").alias("at"), F.min("source").alias("source"), F.count(F.lit(1)).cast("int").alias("n")).select("at", "source", "n")
+
+
 def substring_dedup(docs: DataFrame, width: int = WIDTH, with_text: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 (lowercase hex of the kept words, joined by one space) and,
     if asked for, text (the kept words)."""
-    spark = docs.sparkSession
-    small_batches(spark)
+    if width < 2:
+        raise ValueError("a window has at least two words")
+    small_batches(docs.sparkSession)
     rows = docs.select(inner_id().alias("__id"), F.col("text").alias("__text"))
-    n = max(partitions(spark), -(-rows.count() // ROWS_PER_BUCKET))
-    bounds = rows.select(F.percentile_approx("__id", [i / n for i in range(1, n)], 10_000).alias("q")).first()["q"] if n > 1 else []
-    kept = rows.withColumn("__b", range_bucket(F.col("__id"), sorted(set(bounds or []))).cast("int")).repartition("__b")
-    bits = max(0, (n - 1).bit_length())
-    edges = kept.groupBy("__b").applyInArrow(_send_edges(width, bits), _EDGES)
-    facts = edges.groupBy("__s").applyInArrow(_answer, _FACTS)
-    paths = kept.groupBy("__b").cogroup(facts.groupBy("__b")).applyInArrow(_find_paths(width), _PATHS)
-    wrong = kept.groupBy("__b").cogroup(paths.groupBy("__b")).applyInArrow(_check_paths(width), _FACTS)
-    done = kept.groupBy("__b").cogroup(facts.unionByName(wrong).groupBy("__b")).applyInArrow(_finish(width, with_text), "__id long, n_words long, n_removed long, kept_sha256 string" + ", text string" * with_text)
+    n = bucket_count(rows, "__text")
+    kept = rows.withColumn("__b", F.pmod(F.xxhash64("__id", "__text"), F.lit(n)).cast("int")).repartition("__b")
+    buckets = kept.groupBy("__b")
+    anchors = buckets.applyInArrow(_send_anchors(width), "anchor long, __b int")
+    same = Window.partitionBy("anchor")
+    met = anchors.withColumn("many", F.min("__b").over(same) != F.max("__b").over(same)).where("many").select("anchor", "__b")
+    edges = buckets.cogroup(met.groupBy("__b")).applyInArrow(_send_edges(width), "edge long, id long, at long, near int")
+    paths = compacted(repeated_edges(edges))
+    bucket = lambda c: F.shiftright(c, 32).cast("int").alias("__b")
+    spans = paths.select("source", "n").distinct().select("source", "n", bucket("source"))
+    spans = buckets.cogroup(spans.groupBy("__b")).applyInArrow(_send_paths(width), "source long, n int, words binary")
+    facts = paths.join(spans, ["source", "n"]).select("at", "words", bucket("at"))
+    schema = "__id long, n_words long, n_removed long, kept_sha256 string" + ", text string" * with_text
+    done = buckets.cogroup(facts.groupBy("__b")).applyInArrow(_finish(width, with_text), schema)
     return done.select(outer_id("__id").alias("doc_id"), *(c for c in done.columns if c != "__id"))
