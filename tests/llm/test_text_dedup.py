@@ -80,7 +80,7 @@ def test_line_dedup(spark, min_chars, min_docs):
 def test_line_dedup_carries_columns_and_repeated_ids(spark):
     rows = [(7, "x" * 50)] * 2 + [(i, "x" * 50 + "\nrest") for i in (1, 2, 3)]
     done = line_dedup.line_dedup(documents(spark, rows), carry=["lang", "n_lines"])
-    assert done.columns == ["doc_id", "text", "n_lines", "n_dropped", "lang", "n_lines"]
+    assert done.columns == ["doc_id", "text", "n_lines_", "n_dropped", "lang", "n_lines"]
     assert {(r[0], r[3]) for r in done.collect()} == {(1, 0), (2, 0), (3, 0), (7, 0)}  # four documents, not five
     rows.append((0, "x" * 50))
     done = line_dedup.line_dedup(documents(spark, rows))
@@ -112,16 +112,85 @@ def test_substring_dedup_when_hashes_collide(spark, monkeypatch):
     assert (docs.hashes[every[~ok]] != docs.hashes[head[edge][~ok]]).all()
 
 
+@pytest.mark.parametrize("buckets", [1, 37])
+def test_substring_dedup_in_any_buckets(spark, monkeypatch, buckets):
+    """Repeated and null ids, and documents whose repeats lie in other buckets, or all in one."""
+    rows = texts() + [(3, texts()[0][1]), (None, texts()[2][1]), (None, texts()[2][1])]
+    monkeypatch.setattr(substring_dedup, "bucket_count", lambda *a: buckets)
+    assert got(substring_dedup.substring_dedup(documents(spark, rows), 5)) == brute_words(rows, 5)
+
+
+def test_paths_stop_where_nodes_branch(spark):
+    """Edges 10..15 of one document repeat 0..5 of another; the node between 2 and 3 has two edges out."""
+    S, one, many = 1 << 32, 7, substring_dedup._SEVERAL
+    rows = [(100 + k, 1, k, one << 8 | (many if k == 2 else one)) for k in range(6)] + [(100 + k, 2, S + 10 + k, one << 8 | (many if k == 2 else one)) for k in range(6)]
+    rows += [(200, 5, 50, 0), (300, 4, 60, 0), (300, 4, 70, 0)]  # held once; repeated under one id alone
+    met = substring_dedup.repeated_edges(spark.createDataFrame(rows, "edge long, id long, at long, near int"))
+    assert got(substring_dedup.compacted(met), "at") == [(S + 10, 0, 3), (S + 13, 3, 3)]
+    # Different codes from different buckets are several edges as well.
+    rows = [(100 + k, d, S * d + k, one << 8 | one + (d if k == 1 else 0)) for k in range(4) for d in (0, 1)]
+    met = substring_dedup.repeated_edges(spark.createDataFrame(rows, "edge long, id long, at long, near int"))
+    assert got(substring_dedup.compacted(met), "at") == [(S, 0, 2), (S + 2, 2, 2)]
+
+
+def test_equal_windows_have_equal_anchors():
+    import pyarrow as pa
+
+    r = np.random.default_rng(3)
+    many = [" ".join(f"w{x}" for x in r.integers(0, 3, r.integers(0, 60))) for _ in range(60)]
+    w = substring_dedup.read_words(pa.array(many, pa.string()), 7)
+    each = dict(zip(w.hashes.tolist(), w.anchors.tolist()))
+    assert all(each[h] == a for h, a in zip(w.hashes.tolist(), w.anchors.tolist()))
+    assert len(set(each.values())) < len(each)
+
+
 def test_near_classes(spark):
     rows = [r for r in texts()]
-    assert got(near_dedup.near_classes(documents(spark))) == brute_classes(rows)
+    assert got(near_dedup.near_classes(documents(spark)).select("doc_id", "class_id")) == brute_classes(rows)
 
 
 def test_near_classes_of_chains_and_repeated_rows(spark):
     base = [f"w{i}" for i in range(100)]
     chain = [(10 + k, " ".join(base[: 100 - 3 * k] + [f"n{j}" for j in range(3 * k)])) for k in range(8)]
     rows = chain + [(10, chain[0][1])] * 2 + [(99, "quite another text of some words")]
-    assert sorted(set(got(near_dedup.near_classes(documents(spark, rows))))) == sorted(set(brute_classes(rows)))
+    assert sorted(set(got(near_dedup.near_classes(documents(spark, rows)).select("doc_id", "class_id")))) == sorted(set(brute_classes(rows)))
+
+
+def near_groups(seed: int, groups: int, size: int):
+    """Groups of edited copies, with repeated passages, at all similarities from 0.6 on."""
+    r = np.random.default_rng(seed)
+    word = lambda n: [f"w{x}" for x in r.integers(0, 20_000, n)]
+    boiler, out = word(60), []
+    for _ in range(groups):
+        base = word(140)
+        for _ in range(size):
+            own = list(base)
+            for at in r.integers(0, len(own), r.integers(0, 9)):
+                own[at] = word(1)[0]
+            out.append(" ".join((boiler if r.random() < 0.5 else []) + own))
+    return [(i, t) for i, t in enumerate(out)]
+
+
+@pytest.mark.parametrize("hub, block", [(256, 1 << 18), (3, 500)])
+def test_near_classes_of_large_groups(spark, monkeypatch, hub, block):
+    """Recall at similarity 0.8 is 1 on groups of near copies, with whole and with salted hubs and blocks."""
+    monkeypatch.setattr(near_dedup, "HUB_PAIRS", hub)
+    monkeypatch.setattr(near_dedup, "BLOCK_TERMS", block)
+    rows = near_groups(1, 4, 60)
+    assert got(near_dedup.near_classes(documents(spark, rows)).select("doc_id", "class_id")) == brute_classes(rows)
+
+
+def test_one_of_each_counts_rows_not_ids(spark):
+    a, b = "one two three four five six seven", "eight nine ten eleven twelve thirteen"
+    rows = [(1, a), (5, a), (5, b), (5, b), (None, "x y"), (None, "x y"), (None, None), (7, "")]
+    docs = documents(spark, rows).withColumnsRenamed({"source": "t1", "n_lines": "first", "__b": "__id"})
+    kept = near_dedup.one_of_each(docs)
+    assert kept.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(1, a), (5, b), (None, "x y"), (None, None)], key=str)
+    text_ids = docs.withColumn("doc_id", docs.doc_id.cast("string"))
+    assert near_dedup.one_of_each(text_ids).count() == 4
+    found = near_dedup.near_classes(docs).collect()
+    assert len(found) == 8 and len({r.class_key for r in found}) == 4
 
 
 def test_empty_tables(spark):
@@ -132,13 +201,32 @@ def test_empty_tables(spark):
 
 
 @settings(max_examples=40, deadline=None)
-@given(st.lists(st.integers(0, 2**64 - 1), unique=True, max_size=300))
+@given(st.lists(st.tuples(st.integers(0, 3) | st.integers(0, 2**64 - 1), st.integers(0, 3) | st.integers(0, 2**64 - 1)), unique=True, max_size=300))
 def test_perfect_hash(keys):
-    k = np.array(keys, np.uint64)
+    k = np.array(keys, np.uint64).reshape(-1, 2)
     index = PerfectHash(k)
     assert sorted(index.slots(k).tolist()) == list(range(len(keys)))
 
 
+def test_keys_that_agree_in_one_word_do_not_add_up(monkeypatch):
+    """Keys with one word in common, or with equal folds of their words, keep their own counts; strangers get no answer."""
+    keys = np.array([(7, x) for x in range(50)] + [(x, 7) for x in range(50) if x != 7] + [(x ^ 3 * y, y) for x, y in ((9, 100), (9, 101), (9, 102))], np.uint64)
+    docs = np.arange(len(keys))
+    index = line_dedup.LineIndex(keys, docs, docs * 10)
+    hit, last = index.probe(keys, 5)
+    assert (hit == (docs >= 5)).all() and last.tolist() == (docs[hit] * 10).tolist()
+    strangers = keys + np.uint64(1000)
+    assert not index.probe(strangers, 0)[0].any()
+    monkeypatch.setattr("lodestra.llm.perfect_hash.LEVELS", 0)
+    assert (line_dedup.LineIndex(keys, docs, docs).probe(keys, 5)[0] == (docs >= 5)).all()
+
+
+def test_line_dedup_in_many_shards(spark):
+    rows = texts() + [(None, "x" * 50)] * 9 + [(4, "x" * 50), (5, "x" * 50)]
+    done = line_dedup.line_dedup(documents(spark, rows), 5, 3, shard_keys=2)
+    assert got(done) == brute_lines(rows, 5, 3)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.text("ab \n\x0bé", max_size=30), max_size=8))
 def test_words_and_windows(many):
@@ -159,13 +247,6 @@ def test_words_and_windows(many):
             assert names.setdefault(q, p) == p and len(pairs) == max(0, len(own) - 1)
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.lists(st.integers(0, 2**64 - 1), min_size=1, unique=True, max_size=50))
-def test_packed_edges(values):
-    v = np.sort(np.array(values, np.uint64))
-    assert (substring_dedup.unpack(substring_dedup.pack(v)) == v).all()
-
-
 def test_bagminhash_is_unbiased():
     r, error = np.random.default_rng(0), []
     for k in range(80):
