@@ -114,6 +114,12 @@ def window_hashes(hashes: np.ndarray, first: np.ndarray, width: int) -> tuple[np
     return mix64((sums[at + width] - sums[at]) * back[at] + _U(width)), at
 
 
+def window_starts(first: np.ndarray, width: int) -> np.ndarray:
+    """The index of each run's first word alone."""
+    text = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    return np.flatnonzero(text[: max(0, len(text) - width + 1)] == text[width - 1 :]) if len(text) >= width else np.zeros(0, np.int64)
+
+
 def owners(first: np.ndarray, at: np.ndarray) -> np.ndarray:
     """The text each word index belongs to."""
     return np.searchsorted(first, at, "right") - 1

@@ -35,16 +35,18 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestra.llm.common import bucket_count, inner_id, outer_id, small_batches
-from lodestra.llm.kernels import blocks, span_hashes, window_hashes, words
+from lodestra.llm.kernels import blocks, span_hashes, window_hashes, window_starts, words
 from lodestra.llm.workers import working
 
 WIDTH, ANCHOR_WORDS = 13, 5
 _COMPARED = 1 << 18
-_SEVERAL = 255
+#: A place is a bucket and a word of it; below it stand the codes of the edges before and after (_CODE bits each).
+_WORD, _CODE = 26, 6
+_SEVERAL = (1 << _CODE) - 1
 _U = np.uint64
 
 
@@ -77,20 +79,22 @@ def least_runs(hashes: np.ndarray, first: np.ndarray, width: int) -> np.ndarray:
     return least
 
 
-def read_words(texts: pa.Array, width: int) -> Words:
+def read_words(texts: pa.Array, width: int, hashed: bool = True, anchored: bool = False) -> Words:
+    """hashed and anchored: whether the windows' hashes and anchors are wanted; without, they are empty."""
     data, starts, ends, first, hashes, at, anchors = [], [], [], [np.zeros(1, np.int64)], [], [], []
     n_bytes = n_words = 0
     for _, raw, offsets in blocks(texts):
         s, e, f = words(raw, offsets)
         each = span_hashes(raw, s, e)
-        h, a = window_hashes(each, f, width)
+        h, a = window_hashes(each, f, width) if hashed else (np.zeros(0, _U), window_starts(f, width))
         data.append(raw)
         starts.append(s + n_bytes)
         ends.append(e + n_bytes)
         first.append(f[1:] + n_words)
         hashes.append(h)
         at.append(a + n_words)
-        anchors.append(least_runs(each, f, width)[a])
+        if anchored:
+            anchors.append(least_runs(each, f, width)[a])
         n_bytes, n_words = n_bytes + len(raw), n_words + len(s)
     join = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
     first_, at_ = np.concatenate(first), join(at, np.int64)
@@ -137,15 +141,17 @@ def _sorted(group: pa.Table) -> tuple[np.ndarray, pa.Array]:
     return group["__id"].take(order).to_numpy(), texts
 
 
-def _base(bucket: int) -> int:
+def _base(bucket: int, n_words: int) -> int:
     """The coordinate of a bucket's first word."""
-    return int(bucket) << 32
+    if bucket >> _WORD - 1 or n_words >> _WORD:
+        raise ValueError("too many buckets, or too many words in one")
+    return int(bucket) << _WORD
 
 
 def _send_anchors(width: int):
     def run(group: pa.Table) -> pa.Table:
         working("substrings")
-        anchors = np.unique(read_words(_sorted(group)[1], width).anchors).view(np.int64)
+        anchors = np.unique(read_words(_sorted(group)[1], width, False, True).anchors).view(np.int64)
         return pa.table({"anchor": anchors, "__b": np.full(len(anchors), group["__b"][0].as_py(), np.int32)})
 
     return run
@@ -167,20 +173,21 @@ def neighbours(w: Words, edge: np.ndarray, n: int, step: int) -> np.ndarray:
 def _send_edges(width: int):
     def run(docs: pa.Table, met: pa.Table) -> pa.Table:
         working("substrings")
-        out = {k: np.zeros(0, np.int64) for k in ("edge", "id", "at", "near")}
+        out = {k: np.zeros(0, np.int64) for k in ("id", "edge", "at")}
         if docs.num_rows and met.num_rows:
             ids, texts = _sorted(docs)
-            w = read_words(texts, width)
+            w = read_words(texts, width, True, True)
             edges, head, edge = np.unique(w.hashes, return_index=True, return_inverse=True)
             asked = np.sort(met["anchor"].to_numpy().view(_U))
             anchor = w.anchors[head]
             go = asked[np.minimum(np.searchsorted(asked, anchor), len(asked) - 1)] == anchor
-            near = neighbours(w, edge, len(edges), -1) << 8 | neighbours(w, edge, len(edges), 1)
-            # in the order of the text, which packs well
+            near = neighbours(w, edge, len(edges), -1) << _CODE | neighbours(w, edge, len(edges), 1)
+            # In the order of the text, and with what varies side by side, rows pack well.
             go = np.flatnonzero(go)
             go = go[np.argsort(head[go])]
-            out = {"edge": edges[go].view(np.int64), "id": ids[w.text[head[go]]], "at": w.at[head[go]] + _base(docs["__b"][0].as_py()), "near": near[go]}
-        return pa.table(out | {"near": out["near"].astype(np.int32)})
+            at = w.at[head[go]] + _base(docs["__b"][0].as_py(), len(w.starts))
+            out = {"id": ids[w.text[head[go]]], "edge": edges[go].view(np.int64), "at": at << 2 * _CODE | near[go]}
+        return pa.table(out)
 
     return run
 
@@ -201,7 +208,7 @@ def _send_paths(width: int):
                 data.append(raw)
                 size += len(raw)
             start, end, data = np.concatenate(starts), np.concatenate(ends), np.concatenate(data)
-            at = paths["source"].to_numpy() - _base(docs["__b"][0].as_py())
+            at = paths["source"].to_numpy() - _base(docs["__b"][0].as_py(), len(start))
             spans = [data[start[i] : end[i + n + width - 2]].tobytes() for i, n in zip(at.tolist(), paths["n"].to_pylist())]
         else:
             paths = paths.slice(0, 0)
@@ -241,7 +248,7 @@ def _finish(width: int, with_text: bool):
         working("substrings")
         ids, texts = _sorted(docs)
         w = read_words(texts, width)
-        gone = removed(ids, w, _base(docs["__b"][0].as_py()) if docs.num_rows else 0, facts, width)
+        gone = removed(ids, w, _base(docs["__b"][0].as_py(), len(w.starts)) if docs.num_rows else 0, facts, width)
         sums = np.concatenate([[0], np.cumsum(gone)])
         lost = sums[w.first[1:]] - sums[w.first[:-1]]
         kept = []
@@ -257,26 +264,32 @@ def _finish(width: int, with_text: bool):
 
 
 def repeated_edges(edges: DataFrame) -> DataFrame:
-    """From rows edge, id, at and near: at and source of the edges whose source has a smaller id, and whether
-    the node before (fork_in) or after it (fork_out) branches."""
+    """From rows id, edge and at (a place above two codes): at and shift (the way back to the source's place) of
+    the edges whose source has a smaller id, and forks: 2 if the node before branches, 1 if the one after."""
     same = Window.partitionBy("edge")
     source = F.min(F.struct("id", "at")).over(same)
 
-    def forks(code) -> F.Column:
-        return F.coalesce((F.max(code).over(same) == _SEVERAL) | (F.min(F.when(code > 0, code)).over(same) != F.max(code).over(same)), F.lit(False))
+    def forks(code: Column) -> Column:
+        return F.coalesce((F.max(code).over(same) == _SEVERAL) | (F.min(F.when(code > 0, code)).over(same) != F.max(code).over(same)), F.lit(False)).cast("long")
 
-    met = edges.select("id", "at", source.alias("s"), forks(F.shiftright("near", 8)).alias("fork_in"), forks(F.col("near").bitwiseAND(F.lit(255))).alias("fork_out"))
-    return met.where(F.col("s.id") < F.col("id")).select("at", F.col("s.at").alias("source"), "fork_in", "fork_out")
+    before, after = (F.shiftright("at", n).bitwiseAND(F.lit(_SEVERAL)) for n in (_CODE, 0))
+    met = edges.select("id", "at", source.alias("s"), (forks(before) * 2 + forks(after)).alias("forks")).where(F.col("s.id") < F.col("id"))
+    place = lambda c: F.shiftright(c, 2 * _CODE)
+    return met.select(place("at").alias("at"), (place("at") - place("s.at")).alias("shift"), "forks")
 
 
 def compacted(met: DataFrame) -> DataFrame:
     """at, source and n of the paths: runs of edges whose own and source coordinates are consecutive, up to the
     nodes that branch."""
-    line = Window.partitionBy("shift").orderBy("at")
-    begins = F.coalesce((F.lag("at").over(line) + 1 != F.col("at")) | F.col("fork_in") | F.lag("fork_out").over(line), F.lit(True))
-    runs = met.withColumn("shift", F.col("at") - F.col("source")).withColumn("begins", begins)
-    runs = runs.withColumn("run", F.sum(F.col("begins").cast("int")).over(line))
-    return runs.groupBy("shift", "run").agg(F.min("at").alias("at"), F.min("source").alias("source"), F.count(F.lit(1)).cast("int").alias("n")).select("at", "source", "n")
+    line = Window.partitionBy("shift").orderBy("x")
+    at, forks = F.shiftright("x", 2), F.col("x").bitwiseAND(F.lit(3))
+    last = F.lag("x").over(line)
+    begins = F.coalesce((F.shiftright(last, 2) + 1 != at) | (forks >= 2) | (last.bitwiseAND(F.lit(1)) == 1), F.lit(True))
+    # Two longs a row: the place and the forks share one.
+    rows = met.select("shift", F.shiftleft("at", 2).bitwiseOR(F.col("forks")).alias("x"))
+    runs = rows.select("shift", at.alias("at"), "x", begins.alias("begins")).select("shift", "at", F.sum(F.col("begins").cast("int")).over(line).alias("run"))
+    runs = runs.groupBy("shift", "run").agg(F.min("at").alias("at"), F.count(F.lit(1)).cast("int").alias("n"))
+    return runs.select("at", (F.col("at") - F.col("shift")).alias("source"), "n")
 
 
 def substring_dedup(docs: DataFrame, width: int = WIDTH, with_text: bool = False) -> DataFrame:
@@ -292,9 +305,9 @@ def substring_dedup(docs: DataFrame, width: int = WIDTH, with_text: bool = False
     anchors = buckets.applyInArrow(_send_anchors(width), "anchor long, __b int")
     same = Window.partitionBy("anchor")
     met = anchors.withColumn("many", F.min("__b").over(same) != F.max("__b").over(same)).where("many").select("anchor", "__b")
-    edges = buckets.cogroup(met.groupBy("__b")).applyInArrow(_send_edges(width), "edge long, id long, at long, near int")
+    edges = buckets.cogroup(met.groupBy("__b")).applyInArrow(_send_edges(width), "id long, edge long, at long")
     paths = compacted(repeated_edges(edges))
-    bucket = lambda c: F.shiftright(c, 32).cast("int").alias("__b")
+    bucket = lambda c: F.shiftright(c, _WORD).cast("int").alias("__b")
     spans = paths.select("source", "n").distinct().select("source", "n", bucket("source"))
     spans = buckets.cogroup(spans.groupBy("__b")).applyInArrow(_send_paths(width), "source long, n int, words binary")
     facts = paths.join(spans, ["source", "n"]).select("at", "words", bucket("at"))
