@@ -122,14 +122,16 @@ def test_substring_dedup_in_any_buckets(spark, monkeypatch, buckets):
 
 def test_paths_stop_where_nodes_branch(spark):
     """Edges 10..15 of one document repeat 0..5 of another; the node between 2 and 3 has two edges out."""
-    S, one, many = 1 << 32, 7, substring_dedup._SEVERAL
-    rows = [(100 + k, 1, k, one << 8 | (many if k == 2 else one)) for k in range(6)] + [(100 + k, 2, S + 10 + k, one << 8 | (many if k == 2 else one)) for k in range(6)]
-    rows += [(200, 5, 50, 0), (300, 4, 60, 0), (300, 4, 70, 0)]  # held once; repeated under one id alone
-    met = substring_dedup.repeated_edges(spark.createDataFrame(rows, "edge long, id long, at long, near int"))
+    S, C = 1 << substring_dedup._WORD, substring_dedup._CODE
+    one, many = 7, substring_dedup._SEVERAL
+    row = lambda edge, id_, at, before=0, after=0: (id_, edge, at << 2 * C | before << C | after)
+    table = lambda rows: spark.createDataFrame(rows, "id long, edge long, at long")
+    rows = [row(100 + k, i, at + k, one, many if k == 2 else one) for k in range(6) for i, at in ((1, 0), (2, S + 10))]
+    rows += [row(200, 5, 50), row(300, 4, 60), row(300, 4, 70)]  # held once; repeated under one id alone
+    met = substring_dedup.repeated_edges(table(rows))
     assert got(substring_dedup.compacted(met), "at") == [(S + 10, 0, 3), (S + 13, 3, 3)]
     # Different codes from different buckets are several edges as well.
-    rows = [(100 + k, d, S * d + k, one << 8 | one + (d if k == 1 else 0)) for k in range(4) for d in (0, 1)]
-    met = substring_dedup.repeated_edges(spark.createDataFrame(rows, "edge long, id long, at long, near int"))
+    met = substring_dedup.repeated_edges(table([row(100 + k, d, S * d + k, one, one + (d if k == 1 else 0)) for k in range(4) for d in (0, 1)]))
     assert got(substring_dedup.compacted(met), "at") == [(S, 0, 2), (S + 2, 2, 2)]
 
 
@@ -138,7 +140,7 @@ def test_equal_windows_have_equal_anchors():
 
     r = np.random.default_rng(3)
     many = [" ".join(f"w{x}" for x in r.integers(0, 3, r.integers(0, 60))) for _ in range(60)]
-    w = substring_dedup.read_words(pa.array(many, pa.string()), 7)
+    w = substring_dedup.read_words(pa.array(many, pa.string()), 7, True, True)
     each = dict(zip(w.hashes.tolist(), w.anchors.tolist()))
     assert all(each[h] == a for h, a in zip(w.hashes.tolist(), w.anchors.tolist()))
     assert len(set(each.values())) < len(each)
