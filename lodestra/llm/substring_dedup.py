@@ -273,7 +273,8 @@ def repeated_edges(edges: DataFrame) -> DataFrame:
         return F.coalesce((F.max(code).over(same) == _SEVERAL) | (F.min(F.when(code > 0, code)).over(same) != F.max(code).over(same)), F.lit(False)).cast("long")
 
     before, after = (F.shiftright("at", n).bitwiseAND(F.lit(_SEVERAL)) for n in (_CODE, 0))
-    met = edges.select("id", "at", source.alias("s"), (forks(before) * 2 + forks(after)).alias("forks")).where(F.col("s.id") < F.col("id"))
+    # Dealt out before the window's own columns are made, so that three longs a row travel.
+    met = edges.repartition("edge").select("id", "at", source.alias("s"), (forks(before) * 2 + forks(after)).alias("forks")).where(F.col("s.id") < F.col("id"))
     place = lambda c: F.shiftright(c, 2 * _CODE)
     return met.select(place("at").alias("at"), (place("at") - place("s.at")).alias("shift"), "forks")
 
