@@ -16,8 +16,8 @@ place there. What a bucket says about an edge, it says once, however often it ho
    as no node between them branches: neighbours on a nonbranching path follow each other in every document
    that holds both, so their sources have consecutive coordinates. A path is one row from here on.
 4. Verification. Each distinct path fetches its words from its source bucket once; a join gives them to all the
-   paths' occurrences, and each bucket compares them with its own words, byte by byte. Repeats inside a
-   bucket are compared there. Covered words go.
+   paths' occurrences, paths that go on into each other make one long span again, and each bucket compares
+   it with its own words, byte by byte. Repeats inside a bucket are compared there. Covered words go.
 
 So no word is removed on the strength of a hash; one could only be missed where two windows with equal
 64-bit hashes have different words. Rows grow with the words: nothing is dealt to all buckets, nothing goes
@@ -157,12 +157,13 @@ def _send_anchors(width: int):
     return run
 
 
-def neighbours(w: Words, edge: np.ndarray, n: int, step: int) -> np.ndarray:
-    """For each distinct edge a code of the edges before it (step -1) or after it (1): 0 for none,
-    _SEVERAL for several, else a byte of the only one's hash."""
-    code = np.zeros(len(edge), np.int64)
+def neighbours(w: Words, edge: np.ndarray, met: np.ndarray, step: int) -> np.ndarray:
+    """For each distinct edge a code of the edges before it (step -1) or after it (1) that may be repeated
+    (met, by edge): 0 for none, _SEVERAL for several, else some bits of the only one's hash."""
+    code, n = np.zeros(len(edge), np.int64), len(met)
     near = np.flatnonzero(w.text[1:] == w.text[:-1])
     here, there = (near + 1, near) if step < 0 else (near, near + 1)
+    here, there = (x[met[edge[there]]] for x in (here, there))
     code[here] = 1 + (w.hashes[there] >> _U(56)).astype(np.int64) % (_SEVERAL - 1)
     most, least = np.zeros(n, np.int64), np.full(n, _SEVERAL, np.int64)
     np.maximum.at(most, edge, code)
@@ -181,7 +182,7 @@ def _send_edges(width: int):
             asked = np.sort(met["anchor"].to_numpy().view(_U))
             anchor = w.anchors[head]
             go = asked[np.minimum(np.searchsorted(asked, anchor), len(asked) - 1)] == anchor
-            near = neighbours(w, edge, len(edges), -1) << _CODE | neighbours(w, edge, len(edges), 1)
+            near = neighbours(w, edge, go, -1) << _CODE | neighbours(w, edge, go, 1)
             # In the order of the text, and with what varies side by side, rows pack well.
             go = np.flatnonzero(go)
             go = go[np.argsort(head[go])]
@@ -193,7 +194,8 @@ def _send_edges(width: int):
 
 
 def _send_paths(width: int):
-    """Each path's words, from its source bucket."""
+    """Each path's words, from its source bucket: those its edges begin with, and the rest of the last one,
+    if no other path goes on from there."""
 
     def run(docs: pa.Table, paths: pa.Table) -> pa.Table:
         working("substrings")
@@ -209,25 +211,31 @@ def _send_paths(width: int):
                 size += len(raw)
             start, end, data = np.concatenate(starts), np.concatenate(ends), np.concatenate(data)
             at = paths["source"].to_numpy() - _base(docs["__b"][0].as_py(), len(start))
-            spans = [data[start[i] : end[i + n + width - 2]].tobytes() for i, n in zip(at.tolist(), paths["n"].to_pylist())]
+            last = at + paths["n"].to_numpy() - 1 + np.where(paths["goes_on"].to_numpy(zero_copy_only=False), 0, width - 1)
+            spans = [data[a:b].tobytes() for a, b in zip(start[at].tolist(), end[last].tolist())]
         else:
             paths = paths.slice(0, 0)
-        return pa.table([paths["source"], paths["n"], pa.array(spans, pa.binary())], names=["source", "n", "words"])
+        return pa.table([paths["source"], paths["n"], paths["goes_on"], pa.array(spans, pa.binary())], names=["source", "n", "goes_on", "words"])
 
     return run
 
 
 def removed(ids: np.ndarray, w: Words, base: int, facts: pa.Table, width: int) -> np.ndarray:
-    """The words of a bucket that go. facts: at, n and words of the paths whose sources have smaller ids."""
+    """The words of a bucket that go. facts: at, goes_on and words of the paths whose sources have smaller ids."""
     edges, head, edge = np.unique(w.hashes, return_index=True, return_inverse=True)
     window = np.full(len(w.starts) + 1, -1, np.int64)
     window[w.at] = np.arange(len(w.at))
     elsewhere = np.zeros(len(edges), bool)
     if facts.num_rows:
-        source = read_words(pa.array([x.as_py().decode() for x in facts["words"]], pa.large_string()), width)
-        # A path of n edges is one text of n windows.
-        n = np.diff(np.searchsorted(source.text, np.arange(facts.num_rows + 1)))
-        at = facts["at"].to_numpy() - base
+        # Paths that go on into each other are one text again, of as many windows as they have edges.
+        facts = facts.sort_by("at")
+        begins = np.concatenate([[True], ~facts["goes_on"].to_numpy(zero_copy_only=False)[:-1]])
+        cut = np.append(np.flatnonzero(begins), facts.num_rows)
+        each = [x.as_py() for x in facts["words"]]
+        walks = [b" ".join(each[i:j]).decode() for i, j in zip(cut.tolist(), cut[1:].tolist())]
+        source = read_words(pa.array(walks, pa.large_string()), width)
+        n = np.diff(np.searchsorted(source.text, np.arange(len(walks) + 1)))
+        at = facts["at"].to_numpy()[begins] - base
         mine = np.repeat(window[at], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         same = verified(w, mine, source, np.arange(len(source.at)), width)
         elsewhere[edge[mine[same]]] = True
@@ -281,7 +289,7 @@ def repeated_edges(edges: DataFrame) -> DataFrame:
 
 def compacted(met: DataFrame) -> DataFrame:
     """at, source and n of the paths: runs of edges whose own and source coordinates are consecutive, up to the
-    nodes that branch."""
+    nodes that branch; goes_on if another path follows there on the same line."""
     line = Window.partitionBy("shift").orderBy("x")
     at, forks = F.shiftright("x", 2), F.col("x").bitwiseAND(F.lit(3))
     last = F.lag("x").over(line)
@@ -290,7 +298,8 @@ def compacted(met: DataFrame) -> DataFrame:
     rows = met.select("shift", F.shiftleft("at", 2).bitwiseOR(F.col("forks")).alias("x"))
     runs = rows.select("shift", at.alias("at"), "x", begins.alias("begins")).select("shift", "at", F.sum(F.col("begins").cast("int")).over(line).alias("run"))
     runs = runs.groupBy("shift", "run").agg(F.min("at").alias("at"), F.count(F.lit(1)).cast("int").alias("n"))
-    return runs.select("at", (F.col("at") - F.col("shift")).alias("source"), "n")
+    after = F.lead("at").over(Window.partitionBy("shift").orderBy("at"))
+    return runs.select("at", (F.col("at") - F.col("shift")).alias("source"), "n", F.coalesce(after == F.col("at") + F.col("n"), F.lit(False)).alias("goes_on"))
 
 
 def substring_dedup(docs: DataFrame, width: int = WIDTH, with_text: bool = False) -> DataFrame:
@@ -309,9 +318,10 @@ def substring_dedup(docs: DataFrame, width: int = WIDTH, with_text: bool = False
     edges = buckets.cogroup(met.groupBy("__b")).applyInArrow(_send_edges(width), "id long, edge long, at long")
     paths = compacted(repeated_edges(edges))
     bucket = lambda c: F.shiftright(c, _WORD).cast("int").alias("__b")
-    spans = paths.select("source", "n").distinct().select("source", "n", bucket("source"))
-    spans = buckets.cogroup(spans.groupBy("__b")).applyInArrow(_send_paths(width), "source long, n int, words binary")
-    facts = paths.join(spans, ["source", "n"]).select("at", "words", bucket("at"))
+    path = ["source", "n", "goes_on"]
+    spans = paths.select(*path).distinct().select(*path, bucket("source"))
+    spans = buckets.cogroup(spans.groupBy("__b")).applyInArrow(_send_paths(width), "source long, n int, goes_on boolean, words binary")
+    facts = paths.join(spans, path).select("at", "goes_on", "words", bucket("at"))
     schema = "__id long, n_words long, n_removed long, kept_sha256 string" + ", text string" * with_text
     done = buckets.cogroup(facts.groupBy("__b")).applyInArrow(_finish(width, with_text), schema)
     return done.select(outer_id("__id").alias("doc_id"), *(c for c in done.columns if c != "__id"))
