@@ -129,10 +129,10 @@ def test_paths_stop_where_nodes_branch(spark):
     rows = [row(100 + k, i, at + k, one, many if k == 2 else one) for k in range(6) for i, at in ((1, 0), (2, S + 10))]
     rows += [row(200, 5, 50), row(300, 4, 60), row(300, 4, 70)]  # held once; repeated under one id alone
     met = substring_dedup.repeated_edges(table(rows))
-    assert got(substring_dedup.compacted(met), "at") == [(S + 10, 0, 3), (S + 13, 3, 3)]
+    assert got(substring_dedup.compacted(met), "at") == [(S + 10, 0, 3, True), (S + 13, 3, 3, False)]
     # Different codes from different buckets are several edges as well.
     met = substring_dedup.repeated_edges(table([row(100 + k, d, S * d + k, one, one + (d if k == 1 else 0)) for k in range(4) for d in (0, 1)]))
-    assert got(substring_dedup.compacted(met), "at") == [(S, 0, 2), (S + 2, 2, 2)]
+    assert got(substring_dedup.compacted(met), "at") == [(S, 0, 2, True), (S + 2, 2, 2, False)]
 
 
 def test_equal_windows_have_equal_anchors():
