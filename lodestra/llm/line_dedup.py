@@ -144,7 +144,7 @@ def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_
     shard = F.pmod(F.xxhash64("k0", "k1"), F.lit(shards)).cast("int").alias("__s")
     n = bucket_count(rows, "__text")
     kept = rows.withColumn("__b", F.pmod(F.xxhash64("__id", "__text"), F.lit(n)).cast("int")).repartition("__b")
-    asked = kept.select("__text", "__b").groupBy("__b").applyInArrow(_asked(min_chars), "k0 long, k1 long, __b int")
+    asked = kept.groupBy("__b").applyInArrow(_asked(min_chars), "k0 long, k1 long, __b int")
     answers = counts.select("*", shard).groupBy("__s").cogroup(asked.select("*", shard).groupBy("__s")).applyInArrow(_probe(min_docs), "__b int, key binary, last long")
     kinds = "".join(f", `__c_{c}` {dict(docs.dtypes)[c]}" for c in carry)
     done = kept.groupBy("__b").cogroup(answers.groupBy("__b")).applyInArrow(_apply(min_chars, carry), f"__id long, text string, n_lines long, n_dropped long{kinds}")
