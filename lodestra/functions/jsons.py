@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable
+from decimal import Decimal
 from typing import Any
 
 import pandas as pd
@@ -15,15 +16,36 @@ from lodestra.functions import jsonpath
 from lodestra.functions.numeric import guard
 
 
-def dump(x: Any) -> str:
-    """The canonical text: members by length and name of their keys, one space behind commas and colons."""
-    return json.dumps(_ordered(x), ensure_ascii=False)
+def load(text: str) -> Any:
+    """The value of a text; numbers keep all their digits."""
+    return json.loads(text, parse_float=Decimal)
 
 
-def _ordered(x: Any) -> Any:
-    if isinstance(x, dict):
-        return {k: _ordered(x[k]) for k in sorted(x, key=lambda k: (len(k.encode()), k))}
-    return [_ordered(y) for y in x] if isinstance(x, list) else x
+def _number(x: Any, equal: bool) -> str:
+    if not isinstance(x, (int, Decimal)):
+        return json.dumps(x)
+    plain = format(x, "f") if isinstance(x, Decimal) else str(x)
+    if equal and "." in plain:
+        plain = plain.rstrip("0").rstrip(".")
+    return "0" if equal and plain in ("-0", "-") else plain
+
+
+def dump(x: Any, equal: bool = False, indent: int = 0, depth: int = 0) -> str:
+    """The canonical text: members by length and name of their keys, one space behind commas and colons, numbers
+    without exponents. With `equal`, equal numbers have one form; with `indent`, a line for each member and item."""
+    if isinstance(x, (dict, list)):
+        if isinstance(x, dict):
+            parts = [f"{json.dumps(k, ensure_ascii=False)}: {dump(x[k], equal, indent, depth + 1)}" for k in sorted(x, key=lambda k: (len(k.encode()), k))]
+        else:
+            parts = [dump(y, equal, indent, depth + 1) for y in x]
+        ends = "{}" if isinstance(x, dict) else "[]"
+        if not indent or not parts:
+            return ends[0] + ", ".join(parts) + ends[1]
+        line = "\n" + " " * indent * (depth + 1)
+        return ends[0] + line + ("," + line).join(parts) + "\n" + " " * indent * depth + ends[1]
+    if isinstance(x, bool) or x is None or isinstance(x, str):
+        return json.dumps(x, ensure_ascii=False)
+    return _number(x, equal)
 
 
 def _over(kind: str, f: Callable[..., Any], *columns: Column) -> Column:
@@ -38,7 +60,7 @@ def _over(kind: str, f: Callable[..., Any], *columns: Column) -> Column:
 
 def canonical(j: Column) -> Column:
     """The text that equal values share, for grouping and equality."""
-    return _over("string", lambda x: dump(json.loads(x)), j)
+    return _over("string", lambda x: dump(load(x), equal=True), j)
 
 
 def typeof(j: Column) -> Column:
@@ -46,10 +68,54 @@ def typeof(j: Column) -> Column:
     return F.when(head == "{", "object").when(head == "[", "array").when(head == '"', "string").when(head.isin("t", "f"), "boolean").when(head == "n", "null").when(j.isNotNull(), "number")
 
 
-def is_json(j: Column, kind: str = "value") -> Column:
-    valid = F.try_parse_json(j).isNotNull()
+def _unique(pairs: list[tuple[str, Any]]) -> dict:
+    if len({k for k, _ in pairs}) < len(pairs):
+        raise KeyError
+    return dict(pairs)
+
+
+def _unique_keys(text: str) -> bool:
+    try:
+        json.loads(text, object_pairs_hook=_unique)
+    except KeyError:
+        return False
+    except ValueError:
+        return True  # no JSON at all: for others to say
+    return True
+
+
+def is_json(j: Column, kind: str = "value", unique_keys: bool = False) -> Column:
+    """IS JSON [VALUE | OBJECT | ARRAY | SCALAR] [WITH UNIQUE KEYS]. A text with repeated keys is JSON without the
+    last clause, as its last key of a name counts."""
+    valid = F.coalesce(F.try_parse_json(j).isNotNull(), F.lit(False)) | _over("boolean", _parses, j)
     t = typeof(j)
-    return valid if kind == "value" else valid & ((t == kind) if kind in ("object", "array") else ~t.isin("object", "array"))
+    held = valid if kind == "value" else valid & ((t == kind) if kind in ("object", "array") else ~t.isin("object", "array"))
+    return held & _over("boolean", _unique_keys, j) if unique_keys else held
+
+
+def _no_constant(name: str) -> None:
+    raise ValueError(name)
+
+
+def _parses(text: str) -> bool:
+    try:
+        json.loads(text, parse_constant=_no_constant)
+    except ValueError:
+        return False
+    return True
+
+
+def array_to_json(a: Column, pretty_lines: bool = False) -> Column:
+    """An array as JSON text, nested arrays and NULLs included; pretty_lines puts a line feed behind its commas."""
+    text = F.to_json(a, {"ignoreNullFields": "false"})
+    if not pretty_lines:
+        return text
+    return F.concat(F.lit("["), F.array_join(F.transform(a, lambda x: F.regexp_extract(F.to_json(F.struct(x.alias("v")), {"ignoreNullFields": "false"}), r'(?s)^\{"v":(.*)\}$', 1)), ",\n "), F.lit("]"))
+
+
+def serialize(j: Column, kind: str = "string") -> Column:
+    """JSON_SERIALIZE(j RETURNING text or bytea): the text as it is; 22032 if it is no JSON."""
+    return guard(is_json(j), j, "22032", "invalid input for JSON").cast(kind)
 
 
 def array_length(j: Column) -> Column:
@@ -94,12 +160,12 @@ def _holds(a: Any, b: Any, top: bool = True) -> bool:
         return isinstance(a, list) and all(any(_holds(x, y, False) for x in a) for y in b)
     if isinstance(a, list) and top:
         return any(_holds(x, b, False) for x in a)
-    return type(a) in (type(b), int, float) and isinstance(a, bool) == isinstance(b, bool) and a == b
+    return type(a) in (type(b), int, float, Decimal) and isinstance(a, bool) == isinstance(b, bool) and a == b
 
 
 def contains(a: Column, b: Column) -> Column:
     """a @> b"""
-    return _over("boolean", lambda x, y: _holds(json.loads(x), json.loads(y)), a, b)
+    return _over("boolean", lambda x, y: _holds(load(x), load(y)), a, b)
 
 
 def _strip(x: Any) -> Any:
@@ -109,18 +175,18 @@ def _strip(x: Any) -> Any:
 
 
 def strip_nulls(j: Column) -> Column:
-    return _over("string", lambda x: dump(_strip(json.loads(x))), j)
+    return _over("string", lambda x: dump(_strip(load(x))), j)
 
 
 def pretty(j: Column) -> Column:
-    return _over("string", lambda x: json.dumps(_ordered(json.loads(x)), indent=4, ensure_ascii=False), j)
+    return _over("string", lambda x: dump(load(x), indent=4), j)
 
 
 def concat(a: Column, b: Column) -> Column:
     """a || b: objects merge, arrays append."""
 
     def join(x: str, y: str) -> str:
-        p, q = json.loads(x), json.loads(y)
+        p, q = load(x), load(y)
         if isinstance(p, dict) and isinstance(q, dict):
             return dump(p | q)
         return dump((p if isinstance(p, list) else [p]) + (q if isinstance(q, list) else [q]))
@@ -136,7 +202,7 @@ def _at(x: Any, keys: list[str]) -> Any:
 
 def _edit(keys: list[str], change: Callable[[Any, str], None]) -> Callable[[str], str]:
     def run(x: str) -> str:
-        root = json.loads(x)
+        root = load(x)
         try:
             change(_at(root, keys[:-1]), keys[-1])
         except (KeyError, IndexError, ValueError, TypeError):
@@ -156,7 +222,7 @@ def delete(j: Column, *keys: str | int) -> Column:
 
 
 def delete_keys(j: Column, keys: list[str]) -> Column:
-    return _over("string", lambda x: dump({k: v for k, v in json.loads(x).items() if k not in keys}), j)
+    return _over("string", lambda x: dump({k: v for k, v in load(x).items() if k not in keys}), j)
 
 
 def set_(j: Column, keys: list[str], new: str, create: bool = True) -> Column:
@@ -164,11 +230,11 @@ def set_(j: Column, keys: list[str], new: str, create: bool = True) -> Column:
         if isinstance(at, list):
             i = int(k)
             if -len(at) <= i < len(at):
-                at[i] = json.loads(new)
+                at[i] = load(new)
             elif create:
-                at.insert(0 if i < 0 else len(at), json.loads(new))
+                at.insert(0 if i < 0 else len(at), load(new))
         elif create or k in at:
-            at[k] = json.loads(new)
+            at[k] = load(new)
 
     return _over("string", _edit(keys, change), j)
 
@@ -178,9 +244,9 @@ def insert(j: Column, keys: list[str], new: str, after: bool = False) -> Column:
         if isinstance(at, list):
             i = int(k)
             i = max(i + len(at), 0) if i < 0 else i
-            at.insert(i + after, json.loads(new))
+            at.insert(i + after, load(new))
         elif k not in at:
-            at[k] = json.loads(new)
+            at[k] = load(new)
 
     return _over("string", _edit(keys, change), j)
 
@@ -208,16 +274,21 @@ def path_exists(j: Column, path: str) -> Column:
 
 
 def path_query_array(j: Column, path: str) -> Column:
-    return _over("string", lambda x, p=jsonpath.parse(path): dump(jsonpath.evaluate(p, json.loads(x))), j)
+    return _over("string", lambda x, p=jsonpath.parse(path): dump(jsonpath.evaluate(p, load(x))), j)
+
+
+def path_query(j: Column, path: str) -> Column:
+    """An array of the texts that a path finds, for jsonb_path_query() as rows."""
+    return _over("array<string>", lambda x, p=jsonpath.parse(path): [dump(y) for y in jsonpath.evaluate(p, load(x))], j)
 
 
 def path_query_first(j: Column, path: str) -> Column:
-    return _over("string", lambda x, p=jsonpath.parse(path): next((dump(y) for y in jsonpath.evaluate(p, json.loads(x))), None), j)
+    return _over("string", lambda x, p=jsonpath.parse(path): next((dump(y) for y in jsonpath.evaluate(p, load(x))), None), j)
 
 
 def path_match(j: Column, path: str) -> Column:
     def run(x: str, p=jsonpath.parse(path)) -> bool | None:
-        found = jsonpath.evaluate(p, json.loads(x))
+        found = jsonpath.evaluate(p, load(x))
         return found[0] if len(found) == 1 and isinstance(found[0], bool) else None
 
     return _over("boolean", run, j)
@@ -225,7 +296,7 @@ def path_match(j: Column, path: str) -> Column:
 
 def _lenient(path: tuple, text: str) -> list:
     try:
-        return jsonpath.evaluate(path, json.loads(text))
+        return jsonpath.evaluate(path, load(text))
     except jsonpath.PathError:
         return []
 

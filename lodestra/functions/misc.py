@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestra.plans.storage import settled
+
 
 def uuid_version(u: Column) -> Column:
     return F.when(F.substring(u, 20, 1).isin("8", "9", "a", "b"), F.conv(F.substring(u, 15, 1), 16, 10).cast("smallint"))
@@ -46,6 +48,7 @@ class Sequence:
         return self.last
 
     def currval(self) -> int:
+        """The value that nextval() gave last here."""
         if self.last is None:
             raise ValueError("[55000] currval is not yet defined in this session")
         return self.last
@@ -58,6 +61,7 @@ class Sequence:
         """df with a number for each row. Rows are ranked range by range: only counts per range meet."""
         ordered = df.sort(*order).withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id())
         ordered = ordered.withColumn("__row", F.col("__at") - F.shiftleft(F.col("__part").cast("bigint"), 33))
+        ordered = settled(df.sparkSession, ordered)  # counted and numbered from one and the same sort
         sizes = ordered.groupBy("__part").agg(F.count(F.lit(1)).alias("n"))
         before, total = {}, 0
         for r in sorted(sizes.collect(), key=lambda r: r["__part"]):

@@ -123,3 +123,26 @@ def at_zone(v: Column, zone: str, from_utc: bool = True) -> Column:
     """An instant's local time in a zone (timestamp to timestamp_ntz), or the other way round."""
     a, b = (F.lit("UTC"), F.lit(zone)) if from_utc else (F.lit(zone), F.lit("UTC"))
     return F.convert_timezone(a, b, v.cast("timestamp_ntz"))
+
+
+def make_timestamptz(year, month, day, hour, minute, second, zone: str | None = None) -> Column:
+    """A point in time from local fields in a zone (the session's by default)."""
+    parts = [F.lit(x) if not isinstance(x, Column) else x for x in (year, month, day, hour, minute, second)]
+    return F.make_timestamp_ltz(*parts, F.lit(zone)) if zone else F.make_timestamp_ltz(*parts)
+
+
+def special_date(word: str, today: Column | None = None) -> Column:
+    """The dates that a text names relative to the clock: epoch, today, tomorrow, yesterday. `today` is the seam
+    for a clock of one's own."""
+    day = today if today is not None else F.current_date()
+    moves = {"epoch": None, "today": 0, "now": 0, "tomorrow": 1, "yesterday": -1}
+    if word.strip().lower() not in moves:
+        raise ValueError(f"[22007] invalid input syntax for type date: {word!r}")
+    move = moves[word.strip().lower()]
+    return F.lit("1970-01-01").cast("date") if move is None else F.date_add(day, move)
+
+
+def date_trunc_zone(unit: str, v: Column, zone: str) -> Column:
+    """date_trunc(unit, timestamptz, zone): cut in the zone's local time, back as a point in time. v is in UTC."""
+    local = F.from_utc_timestamp(v, zone)
+    return F.to_utc_timestamp(F.date_trunc(unit, local), zone)

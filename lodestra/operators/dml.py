@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestra.functions.numeric import guard
+
 
 @dataclass
 class Change:
@@ -28,11 +30,20 @@ def insert(table: DataFrame, rows: DataFrame, defaults: dict[str, Column] | None
 
 def insert_on_conflict(table: DataFrame, rows: DataFrame, keys: list[str], update: dict[str, Column] | None = None, where: Column | None = None) -> Change:
     """ON CONFLICT (keys) DO NOTHING, or DO UPDATE SET. In `update` and `where` the columns of the proposed
-    row are named excluded_<column>. NULL keys conflict with nothing. The proposed rows must be unique by key."""
-    new = _aligned(table, rows)
-    fresh = new.join(table.select(*keys), keys, "left_anti")
+    row are named excluded_<column>. NULL keys conflict with nothing. Of several proposed rows with one key DO
+    NOTHING takes the first, in their order in `rows`; DO UPDATE may not touch a row twice and fails with 21000."""
+    known = F.lit(True)
+    for k in keys:
+        known = known & F.col(k).isNotNull()
+    turn = Window.partitionBy(*keys).orderBy("__at")
+    new = _aligned(table, rows).withColumn("__at", F.monotonically_increasing_id())
+    new = new.withColumn("__turn", F.when(known, F.row_number().over(turn)).otherwise(1))
     if update is None:
+        fresh = new.where("__turn = 1").select(*table.columns).join(table.select(*keys), keys, "left_anti").select(*table.columns)
         return Change(table.unionByName(fresh), fresh)
+    once = guard(F.col("__turn") == 1, F.col(keys[0]), "21000", "ON CONFLICT DO UPDATE command cannot affect row a second time")
+    new = new.withColumn(keys[0], once).select(*table.columns)
+    fresh = new.join(table.select(*keys), keys, "left_anti").select(*table.columns)
     proposed = new.select(*(F.col(c).alias(f"excluded_{c}") for c in new.columns), F.lit(True).alias("__hit"))
     met = table.join(proposed, [table[k] == proposed[f"excluded_{k}"] for k in keys], "left")
     hit = F.coalesce(F.col("__hit"), F.lit(False)) & (F.coalesce(where, F.lit(False)) if where is not None else F.lit(True))

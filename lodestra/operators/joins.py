@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -44,20 +44,24 @@ def natural_join(a: DataFrame, b: DataFrame, how: str = "inner") -> DataFrame:
     return a.join(b, common, how) if common else a.crossJoin(b)
 
 
-def any_of(outer: DataFrame, inner: DataFrame, condition: Column) -> DataFrame:
-    """outer rows for which `x op ANY (inner)` holds."""
-    return outer.join(inner, condition, "left_semi")
-
-
-def all_of(outer: DataFrame, inner: DataFrame, condition: Column) -> DataFrame:
-    """outer rows for which `x op ALL (inner)` holds: no inner row makes it false or unknown."""
-    return outer.join(inner, ~condition | condition.isNull(), "left_anti")
-
-
 def compared(outer: DataFrame, inner: DataFrame, x: str, op: str, y: str, how: str) -> DataFrame:
-    """outer rows for which `x op ANY (select y from inner)` or `... ALL ...` holds, op one of < <= > >=: decided by
-    one row, inner's least and largest y and whether any is null."""
+    """outer rows for which `x op ANY (select y from inner)` or `... ALL ...` holds. = ANY is a semi join; all else is
+    decided by one row: inner's least and largest y and whether any is null. For = ALL both must be x; for <> ANY one
+    of them must not be. <> ALL is an anti join, empty as soon as inner holds a null."""
     every = {"any": False, "all": True}[how]
+    if op == "=" and not every:
+        ys = inner.select(F.col(y).alias("__y")).distinct()
+        return outer.join(ys, outer[x] == ys["__y"], "left_semi")
+    if op in ("=", "<>"):
+        bound = F.broadcast(inner.agg(F.min(y).alias("__lo"), F.max(y).alias("__hi"), F.count(F.lit(1)).alias("__n"), F.count(y).alias("__known")))
+        full = (F.col("__n") == 0) | (F.col("__n") == F.col("__known"))
+        if op == "=":
+            return outer.join(bound, (F.col("__n") == 0) | full & (F.col(x) == F.col("__lo")) & (F.col(x) == F.col("__hi")), "left_semi")
+        if not every:
+            return outer.join(bound, (F.col(x) != F.col("__lo")) | (F.col(x) != F.col("__hi")), "left_semi")
+        ys = inner.select(F.col(y).alias("__y")).distinct()
+        kept = outer.join(bound, full & ((F.col("__n") == 0) | F.col(x).isNotNull()), "left_semi")
+        return kept.join(ys, kept[x] == ys["__y"], "left_anti")
     least = {"<": every, "<=": every, ">": not every, ">=": not every}[op]  # the y that is hardest, or for ANY easiest, to meet
     bound = inner.agg((F.min if least else F.max)(y).alias("__y"), F.count(F.lit(1)).alias("__n"), F.count(y).alias("__known"))
     holds = F.expr(f"`{x}` {op} __y")

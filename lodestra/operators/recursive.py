@@ -2,27 +2,22 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
+from lodestra.plans.storage import shared_dir
 
-def _shared(spark: SparkSession) -> None:
-    """The shared checkpoint folder; a local one only where none is set."""
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        import tempfile
 
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/lodestra-checkpoints")
-
-
-def fixpoint(anchor: DataFrame, step: Callable[[DataFrame], DataFrame], distinct: bool = True, ceiling: int = 1000) -> DataFrame:
+def fixpoint(anchor: DataFrame, step: Callable[[DataFrame], DataFrame], distinct: bool = True, ceiling: int | None = None) -> DataFrame:
     """WITH RECURSIVE: `step` sees the rows that the last round added. With `distinct` (UNION) rows already
-    found are no new rows, so cycles end. Each round is cut by a checkpoint; `ceiling` rounds are an error."""
-    _shared(anchor.sparkSession)
+    found are no new rows, so cycles end. Each round is cut by a checkpoint. There is no limit to the rounds but
+    `ceiling`, if it is given; more are an error."""
+    shared_dir(anchor.sparkSession)
     found = (anchor.distinct() if distinct else anchor).checkpoint()
     frontier, rounds = found, [found]
-    for _ in range(ceiling):
+    for _ in range(ceiling) if ceiling is not None else itertools.count():
         new = step(frontier)
         if distinct:
             new = new.subtract(found)

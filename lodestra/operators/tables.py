@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestra.functions import jsons
+
 
 def generate_series(low: Column, high: Column, step: int = 1) -> Column:
     """The numbers low, low + step .. up to high, as an array; none if the direction is wrong."""
@@ -27,6 +29,11 @@ def json_array_elements(df: DataFrame, j: Column, name: str, text: bool = False)
     return df.withColumn(name, F.explode(F.transform(F.from_json(j, "array<variant>"), lambda v: F.to_json(v))))
 
 
+def json_path_query(df: DataFrame, j: Column, path: str, name: str) -> DataFrame:
+    """A row for each item that a JSON path finds."""
+    return df.withColumn(name, F.explode(jsons.path_query(j, path)))
+
+
 def json_object_keys(df: DataFrame, j: Column, name: str) -> DataFrame:
     return df.withColumn(name, F.explode(F.json_object_keys(j)))
 

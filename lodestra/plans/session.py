@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lodestra.functions.misc import Sequence, Settings
 from lodestra.sources import readers
@@ -48,8 +50,9 @@ def sqlstate(error: Exception) -> str | None:
 class Engine:
     """A session over one SparkSession. Statements see the views attached here."""
 
-    def __init__(self, spark: SparkSession, conf: dict[str, str] | None = None):
-        self.spark = spark.newSession()
+    def __init__(self, spark: SparkSession, conf: dict[str, str] | None = None, clock: Callable[[], datetime] | None = None):
+        self.spark, self.clock = spark.newSession(), clock
+        self.used: Sequence | None = None
         for k, v in (CONF | (conf or {})).items():
             self.spark.conf.set(k, v)
         self.settings, self.sequences, self.types = Settings(), {}, {}
@@ -62,6 +65,26 @@ class Engine:
         self.sequences[name] = Sequence(start, step)
         return self.sequences[name]
 
+    def nextval(self, name: str) -> int:
+        self.used = self.sequences[name]
+        return self.used.nextval()
+
+    def currval(self, name: str) -> int:
+        return self.sequences[name].currval()
+
+    def setval(self, name: str, value: int, called: bool = True) -> int:
+        return self.sequences[name].setval(value, called)
+
+    def lastval(self) -> int:
+        """What the last nextval() of any sequence gave."""
+        if self.used is None:
+            raise ValueError("[55000] lastval is not yet defined in this session")
+        return self.used.currval()
+
+    def now(self) -> Column:
+        """The session's clock, the seam for tests: fixed if the engine was given one."""
+        return F.lit(self.clock()).cast("timestamp") if self.clock else F.current_timestamp()
+
     def create_type(self, name: str, fields: str) -> str:
         """A composite type, for use in schemas."""
         self.types[name] = f"struct<{fields}>"
@@ -69,8 +92,6 @@ class Engine:
 
     def register(self, name: str, function: Callable, kind: str, volatile: bool = False) -> None:
         """A host scalar function over Arrow batches of pandas Series."""
-        from pyspark.sql import functions as F
-
         f = F.pandas_udf(function, kind)
         self.spark.udf.register(name, f.asNondeterministic() if volatile else f)
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -11,7 +10,6 @@ from lodestra import registry
 from lodestra.sources.readers import TABLES, parquet
 
 _WORDS = re.compile(r"[a-z_]+")
-_TEXTS: dict[str, str] = {}
 
 
 def run_sql(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
@@ -27,15 +25,5 @@ def same(name: str, text: str) -> None:
 
 
 def both(name: str, spark_text: str, oracle: str) -> None:
-    _TEXTS[name] = spark_text
     registry.query(name, oracle)(lambda spark, sf_dir: run_sql(spark, sf_dir, spark_text))
 
-
-def whole(name: str, cut: str, run: Callable[[SparkSession, str], DataFrame] | None = None) -> None:
-    """Beside a query whose SQL is bound to a prefix of ids, <name>_whole: the same without the clause `cut`, over
-    all rows. Without `run` the query's own Spark text is used."""
-    texts = [registry.ORACLE_SQL[name], *([] if run else [_TEXTS[name]])]
-    if not all(cut in t for t in texts):
-        raise ValueError(f"{name} has no {cut}")
-    oracle, *own = [t.replace(cut, "") for t in texts]
-    registry.query(f"{name}_whole", oracle)(run or (lambda spark, sf_dir: run_sql(spark, sf_dir, own[0])))

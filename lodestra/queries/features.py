@@ -42,6 +42,13 @@ def dml_conflict_update(spark, sf_dir):
     return dml.insert_on_conflict(_nation(spark, sf_dir), rows, ["k"], {"name": col("excluded_name"), "r": col("r") + col("excluded_r")}).table
 
 
+@query("dml_conflict_repeated", f"select {_NATION} from nation union all (select s_nationkey + 20, arg_min(s_name, s_suppkey), 7 from supplier where s_nationkey + 20 not in (select n_nationkey from nation) group by 1)")
+def dml_conflict_repeated(spark, sf_dir):
+    """Many proposals with one key: the first, by the order of the proposed rows, goes in."""
+    rows = parquet(spark, sf_dir, "supplier").orderBy("s_suppkey").select((col("s_nationkey") + 20).alias("k"), col("s_name").alias("name"), lit(7).alias("r"))
+    return dml.insert_on_conflict(_nation(spark, sf_dir), rows, ["k"]).table
+
+
 @query("dml_update", "select n_nationkey as k, case when n_regionkey = 2 then lower(n_name) else n_name end as name, case when n_regionkey = 2 then n_nationkey else n_regionkey end as r from nation")
 def dml_update(spark, sf_dir):
     return dml.update(_nation(spark, sf_dir), {"name": F.lower("name"), "r": col("k")}, col("r") == 2).table

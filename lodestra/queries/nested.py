@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from functools import partial
 
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,51 +12,51 @@ from lodestra.functions import misc
 from lodestra.functions import ranges as rg
 from lodestra.operators import aggregates as agg
 from lodestra.operators import tables as tb
-from lodestra.queries.base import both, whole
+from lodestra.queries.base import both
 from lodestra.registry import query
 from lodestra.sources.readers import parquet
 
 col, lit = F.col, F.lit
 
 
-def _lines(spark, sf_dir, ids="l_orderkey < 2000"):
+def _lines(spark, sf_dir):
     """Per order k the sorted line numbers xs and part keys modulo 7 ps (with repeats)."""
-    li = parquet(spark, sf_dir, "lineitem").where(ids)
+    li = parquet(spark, sf_dir, "lineitem")
     return li.groupBy(col("l_orderkey").alias("k")).agg(F.array_sort(F.collect_list("l_linenumber")).alias("xs"), F.array_sort(F.collect_list(col("l_partkey") % 7)).alias("ps"))
 
 
-_LINES = "(select l_orderkey as k, list_sort(list(l_linenumber)) as xs, list_sort(list(l_partkey % 7)) as ps from lineitem where l_orderkey < 2000 group by 1) t"
+_LINES = "(select l_orderkey as k, list_sort(list(l_linenumber)) as xs, list_sort(list(l_partkey % 7)) as ps from lineitem group by 1) t"
 
 
 @query("arr_introspection", f"select k, 1 as n, len(xs) as l, 1 as lo, len(xs) as hi, len(xs) as c, '[1:' || len(xs) || ']' as d from {_LINES}")
-def arr_introspection(spark, sf_dir, rows=_lines):
+def arr_introspection(spark, sf_dir):
     x = col("xs")
-    return rows(spark, sf_dir).select("k", ar.ndims(x, T.ArrayType(T.IntegerType())).alias("n"), ar.length(x).alias("l"), ar.lower(x).alias("lo"), ar.upper(x).alias("hi"), ar.cardinality(x).alias("c"), ar.dims(x).alias("d"))
+    return _lines(spark, sf_dir).select("k", ar.ndims(x, T.ArrayType(T.IntegerType())).alias("n"), ar.length(x).alias("l"), ar.lower(x).alias("lo"), ar.upper(x).alias("hi"), ar.cardinality(x).alias("c"), ar.dims(x).alias("d"))
 
 
 @query("arr_edit", f"""select k, list_append(ps, 9) as a, list_prepend(9, ps) as b, list_concat(ps, xs) as c, list_filter(ps, lambda x: x <> 3) as d,
     list_transform(ps, lambda x: case when x = 3 then 30 else x end) as e from {_LINES}""")
-def arr_edit(spark, sf_dir, rows=_lines):
+def arr_edit(spark, sf_dir):
     p = col("ps")
-    return rows(spark, sf_dir).select("k", F.array_append(p, lit(9)).alias("a"), F.array_prepend(p, lit(9)).alias("b"), ar.cat(p, col("xs").cast("array<bigint>")).alias("c"), ar.remove(p, lit(3)).alias("d"), ar.replace(p, lit(3), lit(30)).alias("e"))
+    return _lines(spark, sf_dir).select("k", F.array_append(p, lit(9)).alias("a"), F.array_prepend(p, lit(9)).alias("b"), ar.cat(p, col("xs").cast("array<bigint>")).alias("c"), ar.remove(p, lit(3)).alias("d"), ar.replace(p, lit(3), lit(30)).alias("e"))
 
 
 @query("arr_search", f"""select k, nullif(list_position(ps, 3), 0) as p, list_filter(list_transform(range(1, len(ps) + 1), lambda i: case when ps[i] = 3 then i end), lambda i: i is not null) as places,
     list_has_all(ps, [1, 2]) as c, list_has_any(ps, [1, 2]) as o, list_has_all([0, 1, 2, 3], ps) as b from {_LINES}""")
-def arr_search(spark, sf_dir, rows=_lines):
+def arr_search(spark, sf_dir):
     p, two = col("ps"), F.array(lit(1), lit(2))
-    return rows(spark, sf_dir).select("k", ar.position(p, lit(3)).alias("p"), ar.positions(p, lit(3)).alias("places"), ar.contains(p, two).alias("c"), ar.overlaps(p, two).alias("o"), ar.contains(F.array(*map(lit, range(4))), p).alias("b"))
+    return _lines(spark, sf_dir).select("k", ar.position(p, lit(3)).alias("p"), ar.positions(p, lit(3)).alias("places"), ar.contains(p, two).alias("c"), ar.overlaps(p, two).alias("o"), ar.contains(F.array(*map(lit, range(4))), p).alias("b"))
 
 
 @query("arr_subscript_slice", f"select k, xs[2] as a, xs[99] as b, xs[2:3] as s, [xs[1], 7] as n from {_LINES}")
-def arr_subscript(spark, sf_dir, rows=_lines):
+def arr_subscript(spark, sf_dir):
     x = col("xs")
-    return rows(spark, sf_dir).select("k", ar.item(x, 2).alias("a"), ar.item(x, 99).alias("b"), ar.slice_(x, 2, 3).alias("s"), F.array(ar.item(x, 1), lit(7)).alias("n"))
+    return _lines(spark, sf_dir).select("k", ar.item(x, 2).alias("a"), ar.item(x, 99).alias("b"), ar.slice_(x, 2, 3).alias("s"), F.array(ar.item(x, 1), lit(7)).alias("n"))
 
 
 @query("arr_compare", f"select k, xs = [1, 2] as e, xs < [1, 3] as l from {_LINES}")
-def arr_compare(spark, sf_dir, rows=_lines):
-    return rows(spark, sf_dir).select("k", (col("xs") == F.array(lit(1), lit(2))).alias("e"), (col("xs") < F.array(lit(1), lit(3))).alias("l"))
+def arr_compare(spark, sf_dir):
+    return _lines(spark, sf_dir).select("k", (col("xs") == F.array(lit(1), lit(2))).alias("e"), (col("xs") < F.array(lit(1), lit(3))).alias("l"))
 
 
 @query("arr_null_matching", "select * from (values (2, [1, 3], [2], true)) t(p, r, ps, a)")
@@ -88,26 +87,26 @@ def row_types(spark, sf_dir):
 # Ranges
 
 
-def _spans(spark, sf_dir, ids="o_orderkey < 2000"):
-    o = parquet(spark, sf_dir, "orders").where(ids)
+def _spans(spark, sf_dir):
+    o = parquet(spark, sf_dir, "orders")
     a, b = col("o_custkey") % 20, col("o_orderkey") % 15
     return o.select(col("o_orderkey").alias("k"), a.alias("a"), b.alias("b"), rg.i64range(a, a + 5).alias("r"), rg.i64range(b, b + 4, "(]").alias("s"))
 
 
-_SPANS = "(select o_orderkey as k, o_custkey % 20 as a, o_custkey % 20 + 5 as ah, o_orderkey % 15 + 1 as b, o_orderkey % 15 + 5 as bh from orders where o_orderkey < 2000) t"
+_SPANS = "(select o_orderkey as k, o_custkey % 20 as a, o_custkey % 20 + 5 as ah, o_orderkey % 15 + 1 as b, o_orderkey % 15 + 5 as bh from orders) t"
 
 
 @query("rng_accessors", f"select k, a as lo, ah as hi, true as li, false as ui, false as e, false as f, b as sl, bh as sh from {_SPANS}")
-def rng_accessors(spark, sf_dir, rows=_spans):
+def rng_accessors(spark, sf_dir):
     r, s = col("r"), col("s")
-    return rows(spark, sf_dir).select("k", r["lower"].alias("lo"), r["upper"].alias("hi"), r["lower_inc"].alias("li"), r["upper_inc"].alias("ui"), r["empty"].alias("e"), rg.lower_inf(r).alias("f"), s["lower"].alias("sl"), s["upper"].alias("sh"))
+    return _spans(spark, sf_dir).select("k", r["lower"].alias("lo"), r["upper"].alias("hi"), r["lower_inc"].alias("li"), r["upper_inc"].alias("ui"), r["empty"].alias("e"), rg.lower_inf(r).alias("f"), s["lower"].alias("sl"), s["upper"].alias("sh"))
 
 
 @query("rng_operators", f"""select k, a <= b and ah >= bh as c, b <= a and bh >= ah as d, a <= 7 and 7 < ah as v, a < bh and b < ah as o, ah <= b as l, a >= bh as r,
     ah <= bh as nr, a >= b as nl, ah = b or bh = a as j from {_SPANS}""")
-def rng_operators(spark, sf_dir, rows=_spans):
+def rng_operators(spark, sf_dir):
     r, s = col("r"), col("s")
-    return rows(spark, sf_dir).select(
+    return _spans(spark, sf_dir).select(
         "k", rg.contains(r, s).alias("c"), rg.contains(s, r).alias("d"), rg.contains_value(r, lit(7)).alias("v"), rg.overlaps(r, s).alias("o"), rg.strictly_left(r, s).alias("l"), rg.strictly_right(r, s).alias("r"),
         rg.not_extend_right(r, s).alias("nr"), rg.not_extend_left(r, s).alias("nl"), rg.adjacent(r, s).alias("j"),
     )
@@ -115,16 +114,16 @@ def rng_operators(spark, sf_dir, rows=_spans):
 
 @query("rng_set_operations", f"""select k, least(a, b) as ml, greatest(ah, bh) as mh, case when a < bh and b < ah then greatest(a, b) end as il, case when a < bh and b < ah then least(ah, bh) end as ih,
     '[' || least(a, b) || ',' || greatest(ah, bh) || ')' as t from {_SPANS} where a <= bh and b <= ah""")
-def rng_sets(spark, sf_dir, rows=_spans):
-    t = rows(spark, sf_dir)
+def rng_sets(spark, sf_dir):
+    t = _spans(spark, sf_dir)
     t = t.where(rg.overlaps(col("r"), col("s")) | rg.adjacent(col("r"), col("s")))
     m, i = rg.merge(col("r"), col("s")), rg.intersection(col("r"), col("s"))
     return t.select("k", m["lower"].alias("ml"), m["upper"].alias("mh"), i["lower"].alias("il"), i["upper"].alias("ih"), rg.text(rg.union(col("r"), col("s"))).alias("t"))
 
 
 @query("rng_difference", f"select k, case when b <= a then bh else a end as l, case when b <= a then ah else b end as h from {_SPANS} where a < bh and b < ah and not (a < b and bh < ah) and not (b <= a and bh >= ah)")
-def rng_difference(spark, sf_dir, rows=_spans):
-    t = rows(spark, sf_dir).where(rg.overlaps(col("r"), col("s")) & ~((col("r.lower") < col("s.lower")) & (col("s.upper") < col("r.upper"))) & ~rg.contains(col("s"), col("r")))
+def rng_difference(spark, sf_dir):
+    t = _spans(spark, sf_dir).where(rg.overlaps(col("r"), col("s")) & ~((col("r.lower") < col("s.lower")) & (col("s.upper") < col("r.upper"))) & ~rg.contains(col("s"), col("r")))
     d = rg.difference(col("r"), col("s"))
     return t.select("k", d["lower"].alias("l"), d["upper"].alias("h"))
 
@@ -191,10 +190,32 @@ def json_edit(spark, sf_dir):
     return _doc(spark).select(js.strip_nulls(j).alias("a"), js.delete(j, "s").alias("b"), js.insert(s("[1, 2]"), ["1"], "9").alias("c"), js.set_(s("[1, 2]"), ["1"], "7").alias("d"), js.concat(s('{"x": 1}'), s('{"y": 2}')).alias("e"), js.concat(s("[1, 2]"), s("[3]")).alias("f"))
 
 
-@query("json_containment", "select event_id as k, true as s, json_contains(props, '{}') as e from events")
+@query("json_containment", """select o_orderkey as k, o_custkey % 3 = 1 as a, o_custkey % 5 = 2 or o_orderkey % 7 = 2 as b, o_custkey % 3 = 1 and (o_custkey % 5 = 4 or o_orderkey % 7 = 4) as c, true as d from orders""")
 def json_containment(spark, sf_dir):
-    t = _events(spark, sf_dir)
-    return t.select("k", js.contains(col("j"), col("j")).alias("s"), js.contains(col("j"), lit("{}")).alias("e"))
+    j = F.to_json(F.struct((col("o_custkey") % 3).alias("a"), F.array(col("o_custkey") % 5, col("o_orderkey") % 7).alias("b")))
+    t = parquet(spark, sf_dir, "orders").select(col("o_orderkey").alias("k"), j.alias("j"))
+    has = lambda x: js.contains(col("j"), lit(x))
+    return t.select("k", has('{"a": 1.0}').alias("a"), has('{"b": [2]}').alias("b"), has('{"b": [4, 4], "a": 1}').alias("c"), has("{}").alias("d"))
+
+
+@query("json_arrays_and_lengths", """select o_orderkey as k, '[' || o_custkey % 5 || ',' || case when o_orderkey % 3 = 0 then 'null' else cast(o_orderkey % 3 as varchar) end || ']' as a, 2 as n, o_orderkey % 3 = 0 as u, upper(o_orderstatus) as s from orders""")
+def json_arrays(spark, sf_dir):
+    third = F.when(col("o_orderkey") % 3 != 0, col("o_orderkey") % 3)
+    t = parquet(spark, sf_dir, "orders").select(col("o_orderkey").alias("k"), js.array_to_json(F.array(col("o_custkey") % 5, third)).alias("a"), F.when(col("o_orderkey") % 3 == 0, lit('{"x":1,"y":2}')).otherwise(lit('{"x":1,"x":2}')).alias("j"), js.scalar(col("o_orderstatus")).alias("q"))
+    return t.select("k", "a", js.array_length(js.serialize(col("a"))).alias("n"), js.is_json(col("j"), unique_keys=True).alias("u"), F.btrim("q", lit('"')).alias("s"))
+
+
+@query("srf_json_path_query", """select k, e from (select o_orderkey as k, unnest([o_custkey % 5, o_orderkey % 7, 9]) as e from orders) t where e > 2""")
+def srf_json_path_query(spark, sf_dir):
+    j = F.to_json(F.struct(F.array(col("o_custkey") % 5, col("o_orderkey") % 7, lit(9).cast("bigint")).alias("p")))
+    t = parquet(spark, sf_dir, "orders").select(col("o_orderkey").alias("k"), j.alias("j"))
+    return tb.json_path_query(t, col("j"), "$.p[*] ? (@ > 2)", "e").select("k", col("e").cast("bigint").alias("e"))
+
+
+@query("srf_json_elements_text", "select n_nationkey as k, unnest([n_name, cast(n_regionkey as varchar)]) as e from nation")
+def srf_json_elements_text(spark, sf_dir):
+    t = parquet(spark, sf_dir, "nation").select(col("n_nationkey").alias("k"), js.build_array(col("n_name"), col("n_regionkey")).alias("j"))
+    return tb.json_array_elements(t, col("j"), "e", text=True).select("k", "e")
 
 
 @query("json_builders", "select n_nationkey as k, '[' || n_nationkey || ', \"' || n_name || '\"]' as a, '{\"id\": ' || n_nationkey || ', \"name\": \"' || n_name || '\"}' as o, '{\"k\":\"' || n_name || '\"}' as m from nation")
@@ -246,13 +267,13 @@ def srf_series(spark, sf_dir):
 
 
 @query("srf_unnest", f"select k, unnest(ps) as p from {_LINES}")
-def srf_unnest(spark, sf_dir, rows=_lines):
-    return tb.unnest(rows(spark, sf_dir), col("ps"), "p").select("k", "p")
+def srf_unnest(spark, sf_dir):
+    return tb.unnest(_lines(spark, sf_dir), col("ps"), "p").select("k", "p")
 
 
-@query("srf_unnest_composite", "select l_orderkey as k, l_linenumber as n, l_quantity as q from lineitem where l_orderkey < 500")
-def srf_composite(spark, sf_dir, ids="l_orderkey < 500"):
-    t = parquet(spark, sf_dir, "lineitem").where(ids).groupBy(col("l_orderkey").alias("k")).agg(F.collect_list(F.struct(col("l_linenumber").alias("n"), col("l_quantity").alias("q"))).alias("a"))
+@query("srf_unnest_composite", "select l_orderkey as k, l_linenumber as n, l_quantity as q from lineitem")
+def srf_composite(spark, sf_dir):
+    t = parquet(spark, sf_dir, "lineitem").groupBy(col("l_orderkey").alias("k")).agg(F.collect_list(F.struct(col("l_linenumber").alias("n"), col("l_quantity").alias("q"))).alias("a"))
     return t.select("k", F.inline("a"))
 
 
@@ -291,14 +312,6 @@ def srf_json_table(spark, sf_dir):
     return out.select("n", "id", "name", "has", "tag")
 
 
-# Over all rows, beside the queries whose SQL is bound to a prefix of ids
-
-for _name, _f in {"arr_introspection": arr_introspection, "arr_edit": arr_edit, "arr_search": arr_search, "arr_subscript_slice": arr_subscript, "arr_compare": arr_compare, "srf_unnest": srf_unnest}.items():
-    whole(_name, " where l_orderkey < 2000", partial(_f, rows=partial(_lines, ids="true")))
-for _name, _f in {"rng_accessors": rng_accessors, "rng_operators": rng_operators, "rng_set_operations": rng_sets, "rng_difference": rng_difference}.items():
-    whole(_name, " where o_orderkey < 2000", partial(_f, rows=partial(_spans, ids="true")))
-whole("srf_unnest_composite", " where l_orderkey < 500", partial(srf_composite, ids="true"))
-
 
 # Identifiers and counts
 

@@ -1,5 +1,9 @@
 """Edges of the function and operator libraries that no table query shows."""
 
+import datetime
+import math
+import random
+
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -118,9 +122,9 @@ def test_recursion_ends_on_cycles_and_at_the_ceiling(spark):
 def test_quantified_subqueries_with_nulls(spark):
     outer = spark.createDataFrame([(1,), (5,)], "x int")
     inner = spark.createDataFrame([(2,), (None,)], "y int")
-    assert [r.x for r in joins.any_of(outer, inner, F.col("x") < F.col("y")).collect()] == [1]
-    assert joins.all_of(outer, inner, F.col("x") > F.col("y")).count() == 0
-    assert joins.all_of(outer, inner.where("y > 9"), F.col("x") > F.col("y")).count() == 2
+    assert [r.x for r in joins.compared(outer, inner, "x", "<", "y", "any").collect()] == [1]
+    assert joins.compared(outer, inner, "x", ">", "y", "all").count() == 0
+    assert joins.compared(outer, inner.where("y > 9"), "x", ">", "y", "all").count() == 2
 
 
 def test_hypothetical_on_an_empty_group(spark):
@@ -146,14 +150,78 @@ def test_upsert_where_and_null_keys(spark):
     assert [(r.k, r.v) for r in c.returning.collect()] == [(None, 6)]
 
 
-def test_exclude_no_others_equals_the_frame(spark):
-    from pyspark.sql import Window
-
-    t = spark.createDataFrame([(1, 1, 5), (1, 1, 6), (1, 2, None)], "p int, o int, v int")
-    w = Window.partitionBy("p").orderBy("o").rangeBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    rows = t.select(windows.excluding("v", "group", w, ["p"], ["o"]).alias("g"), windows.excluding("v", "ties", w, ["p"], ["o"], "avg").alias("a"), "o", "v").collect()
-    assert {(r.o, r.v): r.g for r in rows} == {(1, 5): None, (1, 6): None, (2, None): 11}
-    assert {r.v: r.a for r in rows} == {5: 5.0, 6: 6.0, None: 5.5}
+def test_exclusions_brute_force(spark):
+    """Floats and infinities stay exact; every function and exclusion, with and without bounds."""
+    rows = [(1, 1, 0.1), (1, 1, 0.2), (1, 2, 0.3), (1, 3, float("inf")), (1, 3, None), (2, 1, None), (2, 5, -1.5), (2, 5, -1.5), (2, 6, 1e300)]
+    t = windows.numbered(spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, p int, o int, v double"), ["p"], [F.col("o")])
+    fns = {F.sum: sum, F.count: len, F.min: min, F.max: max, F.avg: lambda x: sum(x) / len(x)}
+    for low, high in ((None, None), (-1, 1), (0, None)):
+        got = t.select("i", *(windows.excluding(F.col("v"), what, ["p"], fn, low, high).alias(f"{what}/{fn.__name__}") for what in ("no others", "current row", "group", "ties") for fn in fns)).collect()
+        for r in got:
+            p, o, v = rows[r.i]
+            group = {x: k for k, x in enumerate(sorted({y[1] for y in rows if y[0] == p}))}
+            frame = [j for j, y in enumerate(rows) if y[0] == p and (low is None or group[y[1]] - group[o] >= low) and (high is None or group[y[1]] - group[o] <= high)]
+            peers = [j for j in frame if rows[j][1] == o]
+            for what, out in {"no others": [], "current row": [r.i], "group": peers, "ties": [j for j in peers if j != r.i]}.items():
+                held = [rows[j][2] for j in frame if j not in out and rows[j][2] is not None]
+                for fn, plain in fns.items():
+                    want = plain(held) if held or plain is len else None
+                    assert r[f"{what}/{fn.__name__}"] == want or want is not None and abs(r[f"{what}/{fn.__name__}"] - want) < 1e-12, (what, fn, r.i)
+
+
+def test_repeated_proposals(spark):
+    t = spark.createDataFrame([(1, "a")], "k int, v string")
+    new = spark.createDataFrame([(1, "x"), (1, "y"), (3, "z"), (3, "w"), (None, "n"), (None, "n")], "k int, v string").coalesce(1)
+    c = dml.insert_on_conflict(t, new, ["k"])
+    assert sorted(((r.k or 0, r.v) for r in c.table.collect())) == [(0, "n"), (0, "n"), (1, "a"), (3, "z")]
+    with pytest.raises(Exception, match="21000"):
+        dml.insert_on_conflict(t, new, ["k"], {"v": F.col("excluded_v")}).table.collect()
+    once = dml.insert_on_conflict(t, new.where("v in ('x', 'z', 'n')"), ["k"], {"v": F.col("excluded_v")})
+    assert sorted((r.k or 0, r.v) for r in once.table.collect()) == [(0, "n"), (0, "n"), (1, "x"), (3, "z")]
+
+
+def test_json_numbers_keep_their_digits(spark):
+    say = lambda c: one(spark, c)
+    lit = F.lit
+    assert say(jsons.canonical(lit("12345678901234567890.123"))) == "12345678901234567890.123"
+    assert say(jsons.canonical(lit("1e2"))) == say(jsons.canonical(lit("100.0"))) == "100"
+    assert say(jsons.canonical(lit("12345678901234567890.1"))) != say(jsons.canonical(lit("12345678901234567890.2")))
+    assert say(jsons.strip_nulls(lit('{"a": 1.50, "b": null}'))) == '{"a": 1.50}'
+    assert say(jsons.contains(lit('{"a": 1.0}'), lit('{"a": 1}')))
+    assert say(jsons.path_query_array(lit('{"a": [0.1, 0.30, 2]}'), "$.a[*] ? (@ > 0.2)")) == "[0.30, 2]"
+    assert say(jsons.is_json(lit('{"a": 1, "a": 2}'))) and not say(jsons.is_json(lit('{"a": 1, "a": 2}'), unique_keys=True)) and not say(jsons.is_json(lit("NaN")))
+    assert say(jsons.array_to_json(F.array(lit(1), lit(None)))) == "[1,null]" and say(jsons.array_to_json(F.array(lit(1), lit(2)), True)) == "[1,\n 2]"
+    with pytest.raises(Exception, match="22032"):
+        say(jsons.serialize(lit("{")))
+
+
+def test_percentiles_brute_force(spark):
+    """Nulls, ties, empty groups, fractions by group, and many ranges."""
+    rng = random.Random(3)
+    rows = [(g, rng.choice([None, 1.0, 2.5, 7.0, rng.random() * 9]), {1: 0.0, 2: 0.33, None: 1.0, 4: 0.5}[g]) for g in (1, 2, None) for _ in range(rng.randint(1, 40))] + [(4, None, 0.5)]
+    df = spark.createDataFrame(rows, "g int, x double, f double")
+    cont = {r.g: (r.a, r.b) for r in aggregates.percentiles(df, ["g"], "x", {"a": 0.4, "b": F.col("f")}).collect()}
+    disc = {r.g: r.a for r in aggregates.percentiles(df, ["g"], "x", {"a": 0.4}, "disc").collect()}
+    for g, f in {(r[0], r[2]) for r in rows}:
+        x = sorted(v for k, v, _ in rows if k == g and v is not None)
+        at = lambda q: x[int(q * (len(x) - 1))] + (q * (len(x) - 1) % 1) * (x[min(int(q * (len(x) - 1)) + 1, len(x) - 1)] - x[int(q * (len(x) - 1))])
+        assert cont[g] == (None, None) if not x else (abs(cont[g][0] - at(0.4)) < 1e-9 and abs(cont[g][1] - at(f)) < 1e-9)
+        assert disc[g] == (x[max(1, math.ceil(0.4 * len(x))) - 1] if x else None)
+    with pytest.raises(Exception, match="22003"):
+        aggregates.percentiles(df.withColumn("g", F.lit(1)), ["g"], "x", {"a": F.col("f")}).collect()
+
+
+def test_sequences_and_clock(spark):
+    engine = Engine(spark, clock=lambda: datetime.datetime(2020, 1, 2, 3))
+    with pytest.raises(ValueError, match="55000"):
+        engine.lastval()
+    engine.create_sequence("a")
+    engine.create_sequence("b", 10)
+    assert [engine.nextval("a"), engine.nextval("b"), engine.nextval("a"), engine.lastval(), engine.currval("b")] == [1, 10, 2, 2, 10]
+    assert engine.setval("b", 40) == 40 and engine.nextval("b") == 41 and engine.lastval() == 41
+    assert engine.spark.range(1).select(engine.now().cast("string")).first()[0] == "2020-01-02 03:00:00"
+    day = lambda w: one(spark, temporal.special_date(w, F.lit("2024-02-29").cast("date")))
+    assert [str(day(w)) for w in ("today", "tomorrow", "yesterday", "epoch")] == ["2024-02-29", "2024-03-01", "2024-02-28", "1970-01-01"]
 
 
 def test_files_and_renderers(spark, tmp_path):
