@@ -8,20 +8,21 @@ improves. The predicted language is the largest of that set; the score is its pr
 
 The model is fitted on at most about `max_docs` labelled documents of each language, taken by a hash of
 their ids, so its cost does not grow; the result, one count array for each language, goes to all tasks.
-All texts are then scored whole, in one pass without a shuffle; long ones in the form of counts.
+All texts are then scored whole, in one pass without a shuffle; long ones in the form of counts, which gives the
+same sums.
 
-Defined results: null texts and texts without a letter get 'und' with score 0. A null doc_id counts as held
+Defined results: null texts and texts without a letter (numerals are none) get 'und' with score 0. A null doc_id counts as held
 out. Without any training row all texts get 'und'. Repeated rows give repeated rows.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,7 +32,7 @@ from lodestra.llm.workers import working
 
 BINS, GRAM, MAX_DOCS, ROUNDS = 1 << 16, 3, 3000, 12
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 _DIRECT = 1 << 14
 
 

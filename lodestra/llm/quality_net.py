@@ -2,11 +2,12 @@
 
 The whole text is cut into overlapping chunks. Learned filters run over each chunk's byte embeddings; each
 filter's largest response in a chunk is pooled, and a text's largest and mean pooled responses over all
-its chunks go through one logistic unit. Chunks overlap by the filter width, so no window is lost.
+its chunks go through one logistic unit. Filters move by STRIDE bytes, on one grid over the whole text, and chunks
+overlap by the filter width, so no window of that grid is lost between chunks.
 
-Training sees at most about `max_docs` labelled rows, chosen by a hash of doc_id, and at most TRAIN_CHUNKS
-chunks of each, spread evenly over the text; both bounds are parameters of the fit alone. Scoring covers
-every chunk of every text, in one pass without a shuffle.
+Training sees at most about `max_docs` labelled rows, chosen by a hash of doc_id: a parameter of the fit. It reads
+their texts whole, as scoring does; both work on a bounded number of chunks at a time. Scoring is one pass without a
+shuffle.
 
 Defined results: null and empty texts are scored as a text of padding. Rows without a label are not
 learned from; a null doc_id counts as held out. Without training rows every score is the untrained one.
@@ -26,11 +27,12 @@ from lodestra.llm.common import small_batches
 from lodestra.llm.workers import working
 
 CHUNK, WIDTH, STRIDE, EMBED, FILTERS = 256, 8, 2, 6, 24
-MAX_DOCS, TRAIN_CHUNKS, EPOCHS, BATCH, SEED = 4000, 8, 8, 64, 20240101
+MAX_DOCS, EPOCHS, BATCH, SEED = 3000, 6, 64, 20240101
 THRESHOLD = 0.3
 _STEP = CHUNK - WIDTH + STRIDE
 _PLACES = (CHUNK - WIDTH) // STRIDE + 1
 _BLOCK_CHUNKS = 2048
+PENALTY = 1e-4
 
 
 def chunks(raw: bytes) -> np.ndarray:
@@ -88,8 +90,57 @@ class QualityNet:
                 held, first, size = [], i + 1, 0
         return out
 
+    def loss(self, texts: list[np.ndarray], labels: np.ndarray) -> float:
+        """The mean log loss, with the penalty on `out` that gradients() has."""
+        feats = np.stack([self._pools(self.pooled(t)) for t in texts])
+        z = feats.astype(np.float64) @ self.out + self.shift
+        return float(np.mean(np.logaddexp(0, z) - labels * z) + 0.5 * PENALTY * np.sum(self.out.astype(np.float64) ** 2))
+
+    @staticmethod
+    def _pools(top: np.ndarray) -> np.ndarray:
+        return np.concatenate([top.max(0), top.mean(0)])
+
+    def _winners(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each filter's largest response in each chunk (before the bias), and its place."""
+        raw = (self.windows(codes).reshape(-1, WIDTH * EMBED) @ self.conv).reshape(len(codes), _PLACES, FILTERS)
+        place = raw.argmax(1)
+        return np.take_along_axis(raw, place[:, None], 1)[:, 0], place
+
+    def gradients(self, texts: list[np.ndarray], labels: np.ndarray) -> tuple[dict[str, np.ndarray], float]:
+        """Of loss(), by full backpropagation through pooling, filters and embeddings: only winning windows count.
+        Whole texts, at most _BLOCK_CHUNKS chunks at a time."""
+        sizes = np.array([len(t) for t in texts])
+        starts, owner = np.cumsum(sizes) - sizes, np.repeat(np.arange(len(texts)), sizes)
+        codes = np.concatenate(texts)
+        parts = [self._winners(codes[i : i + _BLOCK_CHUNKS]) for i in range(0, len(codes), _BLOCK_CHUNKS)]
+        place = np.concatenate([p for _, p in parts])
+        top = np.maximum(np.concatenate([t for t, _ in parts]) + self.bias, 0)
+        peak = np.maximum.reduceat(top, starts)
+        feats = np.concatenate([peak, np.add.reduceat(top, starts) / sizes[:, None]], 1)
+        p = 1 / (1 + np.exp(-(feats @ self.out + self.shift)))
+        err = ((p - labels) / len(texts)).astype(self.out.dtype)
+        g = {"out": feats.T @ err + PENALTY * self.out}
+        d = err[:, None] * self.out
+        # Of several chunks with one peak the first takes its gradient.
+        best = top == peak[owner]
+        seen = np.cumsum(best, 0)
+        first = best & (seen - (seen[starts] - best[starts])[owner] == 1)
+        dtop = np.where(first, d[owner, :FILTERS], 0) + d[owner, FILTERS:] / sizes[owner, None]
+        dtop = np.where(top > 0, dtop, 0).astype(self.out.dtype)
+        g["bias"] = dtop.sum(0)
+        g["conv"], g["embed"] = np.zeros_like(self.conv), np.zeros_like(self.embed)
+        for i in range(0, len(codes), _BLOCK_CHUNKS // 4):
+            block = slice(i, i + _BLOCK_CHUNKS // 4)
+            at = place[block] * STRIDE  # chunks x filters
+            won = codes[block][np.arange(len(at))[:, None, None], at[:, :, None] + np.arange(WIDTH)]
+            g["conv"] += np.einsum("cfk,cf->kf", self.embed[won].reshape(*at.shape, WIDTH * EMBED), dtop[block], optimize=True)
+            dw = (dtop[block][:, :, None] * self.conv.T).reshape(-1, EMBED)
+            flat = won.ravel()
+            g["embed"] += np.stack([np.bincount(flat, dw[:, e], 257) for e in range(EMBED)], 1).astype(self.embed.dtype)
+        return g, float(err.sum())
+
     def learn(self, texts: list[np.ndarray], labels: np.ndarray) -> None:
-        """Adam on the log loss, full backpropagation through pooling, filters and embeddings."""
+        """Adam on the log loss."""
         r, params = np.random.default_rng(SEED), ["embed", "conv", "bias", "out"]
         base = np.clip(labels.mean(), 0.01, 0.99)
         self.shift = float(np.log(base / (1 - base)))
@@ -101,38 +152,13 @@ class QualityNet:
             order = r.permutation(len(texts))
             for at in range(0, len(order), BATCH):
                 rows = order[at : at + BATCH]
-                sizes = np.array([len(texts[i]) for i in rows])
-                codes = np.concatenate([texts[i] for i in rows])
-                starts, owner = np.cumsum(sizes) - sizes, np.repeat(np.arange(len(rows)), sizes)
-                w = self.windows(codes)
-                raw = (w.reshape(-1, WIDTH * EMBED) @ self.conv).reshape(len(codes), _PLACES, FILTERS)
-                place = raw.argmax(1)
-                top = np.maximum(np.take_along_axis(raw, place[:, None], 1)[:, 0] + self.bias, 0)
-                peak = np.maximum.reduceat(top, starts)
-                feats = np.concatenate([peak, np.add.reduceat(top, starts) / sizes[:, None]], 1)
-                p = 1 / (1 + np.exp(-(feats @ self.out + self.shift)))
-                err = (p - labels[rows]).astype(np.float32) / len(rows)
-                g = {"out": feats.T @ err + 1e-4 * self.out}
-                d = err[:, None] * self.out
-                first = (top == peak[owner]) & (top > 0)
-                dtop = np.where(first, d[owner, :FILTERS], 0) + d[owner, FILTERS:] / sizes[owner, None]
-                dtop = np.where(top > 0, dtop, 0).astype(np.float32)
-                g["bias"] = dtop.sum(0)
-                draw = np.zeros_like(raw)
-                np.put_along_axis(draw, place[:, None], dtop[:, None], 1)
-                flat = draw.reshape(-1, FILTERS)
-                g["conv"] = w.reshape(-1, WIDTH * EMBED).T @ flat
-                live = np.flatnonzero(flat.any(1))
-                dw = (flat[live] @ self.conv.T).reshape(len(live), WIDTH, EMBED)
-                seen = np.lib.stride_tricks.sliding_window_view(codes, WIDTH, axis=1)[:, ::STRIDE].reshape(-1, WIDTH)[live]
-                g["embed"] = np.stack([np.bincount(seen.ravel(), dw[:, :, e].ravel(), 257) for e in range(EMBED)], 1).astype(np.float32)
+                g, gs = self.gradients([texts[i] for i in rows], labels[rows])
                 t += 1
                 for name in params:
                     m, v = moments[name]
                     m += 0.1 * (g[name] - m)
                     v += 0.01 * (g[name] ** 2 - v)
                     setattr(self, name, (getattr(self, name) - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-7)).astype(np.float32))
-                gs = float(err.sum())
                 m_shift += 0.1 * (gs - m_shift)
                 v_shift += 0.01 * (gs * gs - v_shift)
                 self.shift -= rate * (m_shift / (1 - 0.9**t)) / ((v_shift / (1 - 0.99**t)) ** 0.5 + 1e-7)
@@ -149,17 +175,9 @@ def fit(labelled: DataFrame, max_docs: int = MAX_DOCS) -> QualityNet:
     place = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(11)), F.lit(1 << 20)) / float(1 << 20)
     sample = usable.where(place < min(1.0, max_docs / n)).select(F.col("doc_id").cast("string"), "text", F.col("label").cast("int"))
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for text in batch.column(1).to_pylist():
-                all_ = chunks((text or "").encode())
-                rows.append(all_[np.unique(np.linspace(0, len(all_) - 1, TRAIN_CHUNKS).astype(int))].astype("<i2").tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary()), batch.column(2)], names=["doc_id", "chunks", "label"])
-
-    got = sorted((r["doc_id"] or "", bytes(r["chunks"]), r["label"]) for r in sample.mapInArrow(cut, "doc_id string, chunks binary, label int").collect())
+    got = sorted((r["doc_id"] or "", r["text"] or "", r["label"]) for r in sample.collect())
     if got:
-        net.learn([np.frombuffer(c, "<i2").reshape(-1, CHUNK).astype(np.int32) for _, c, _ in got], np.array([y for _, _, y in got], np.float32))
+        net.learn([chunks(t.encode()).astype(np.int16) for _, t, _ in got], np.array([y for _, _, y in got], np.float32))
     return net
 
 

@@ -41,9 +41,53 @@ MARK = "▁"
 KEPT_UNITS = 800_000
 
 
+UNIGRAM, BPE = 1, 2
+
+
+def _fields(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
+    """The fields of a protocol buffer message: number and value (a whole number or bytes)."""
+    at = 0
+
+    def varint() -> int:
+        nonlocal at
+        value = shift = 0
+        while True:
+            byte = raw[at]
+            at += 1
+            value |= (byte & 127) << shift
+            shift += 7
+            if byte < 128:
+                return value
+
+    while at < len(raw):
+        tag = varint()
+        kind = tag & 7
+        if kind == 0:
+            yield tag >> 3, varint()
+        else:
+            size = {1: 8, 5: 4}.get(kind) or varint()
+            yield tag >> 3, raw[at : at + size]
+            at += size
+
+
+def model_kind(raw: bytes) -> int:
+    """The model's type, from its file. Only unigram and BPE models whose normaliser leaves characters as they are,
+    keeps white space, marks it, and adds one mark in front are encoded here; any other is an error."""
+    spec = {k: v for k, v in _fields(raw) if k in (2, 3)}
+    trainer, normal = dict(_fields(spec.get(2, b""))), dict(_fields(spec.get(3, b"")))
+    kind = trainer.get(3, UNIGRAM)
+    if kind not in (UNIGRAM, BPE):
+        raise ValueError(f"a model of type {kind} is neither unigram nor BPE")
+    # Fields of the normaliser: 2 character map, 3 mark in front, 4 white space cut, 5 white space marked; of the trainer: 24 mark behind.
+    if normal.get(2) or not normal.get(3, 1) or normal.get(4, 1) or not normal.get(5, 1) or trainer.get(24, 0):
+        raise ValueError("the model's normaliser changes texts in a way that is not supported")
+    return kind
+
+
 class PieceModel:
     def __init__(self, path: str, bpe: bool | None = None):
         own = sentencepiece.SentencePieceProcessor(model_file=path)
+        kind = model_kind(own.serialized_model_proto())
         n = own.get_piece_size()
         pieces = [own.id_to_piece(i) for i in range(n)]
         special = [own.is_byte(i) or own.is_control(i) or own.is_unknown(i) or own.is_unused(i) for i in range(n)]
@@ -52,8 +96,7 @@ class PieceModel:
         self.text = pieces
         self.byte = {int(p[3:5], 16): i for i, p in enumerate(pieces) if own.is_byte(i)}
         self.unknown = own.unk_id()
-        # Only merge ranks are whole numbers; log-probabilities are not.
-        self.bpe = all(float(s).is_integer() for s in self.score) if bpe is None else bpe
+        self.bpe = kind == BPE if bpe is None else bpe
         self.automaton = ahocorasick.Automaton()
         for p, i in self.ids.items():
             self.automaton.add_word(p, (len(p), i))
