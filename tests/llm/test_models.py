@@ -234,8 +234,7 @@ def test_chunks_cover_the_text():
         assert all(raw[k : k + quality_net.WIDTH] in windows for k in range(0, n - quality_net.WIDTH + 1, quality_net.STRIDE))
 
 
-def test_quality_gradients():
-    """A numeric derivative of the loss agrees with a step of plain descent on separable texts."""
+def test_quality_learns_separable_texts():
     net = quality_net.QualityNet.fresh()
     sample = [quality_net.chunks(bytes([65 + (i % 2)] * 300)) for i in range(40)]
     net.learn(sample, np.array([i % 2 for i in range(40)], np.float32))
@@ -243,6 +242,124 @@ def test_quality_gradients():
     assert p[0] < 0.2 and p[1] > 0.8 and p[3] > 0.8 and 0 <= p[2] <= 1
 
 
+def test_quality_gradients(monkeypatch):
+    """The gradients of every kind of parameter agree with numeric derivatives of the loss, over texts of one and of
+    many chunks, in blocks smaller than a text."""
+    net = quality_net.QualityNet.fresh()
+    for name in ("embed", "conv", "bias", "out"):
+        setattr(net, name, getattr(net, name).astype(np.float64))
+    r = random.Random(4)
+    texts = [quality_net.chunks(bytes(r.randrange(256) for _ in range(n))) for n in (5, 400, 2500, 90)]
+    labels = np.array([1.0, 0.0, 1.0, 0.0])
+    monkeypatch.setattr(quality_net, "_BLOCK_CHUNKS", 4)
+    g, gs = net.gradients(texts, labels)
+    for name in ("embed", "conv", "bias", "out"):
+        value = getattr(net, name)
+        for at in [np.unravel_index(k, value.shape) for k in np.argsort(-np.abs(g[name]).ravel())[:6]]:
+            old, h = value[at], 1e-6
+            value[at] = old + h
+            up = net.loss(texts, labels)
+            value[at] = old - h
+            down = net.loss(texts, labels)
+            value[at] = old
+            assert abs((up - down) / (2 * h) - g[name][at]) < 1e-5 * max(1, abs(g[name][at])), (name, at)
+    net.shift += 1e-6
+    up = net.loss(texts, labels)
+    net.shift -= 2e-6
+    assert abs((up - net.loss(texts, labels)) / 2e-6 - gs) < 1e-5
+
+
+def test_quality_scores_by_plain_loops():
+    """Convolution, pooling over all chunks and the logistic unit, by loops over a whole text."""
+    net, r = quality_net.QualityNet.fresh(), random.Random(9)
+    net.bias += 0.05
+    for n in (0, 3, 256, 300, 1500):
+        raw = bytes(r.randrange(256) for _ in range(n))
+        size, step = quality_net.CHUNK, quality_net.CHUNK - quality_net.WIDTH + quality_net.STRIDE
+        tops = []
+        for at in range(0, max(1, n - (size - step)), step):
+            codes = [b + 1 for b in raw[at : at + size]] + [0] * max(0, size - len(raw[at : at + size]))
+            best = [-1e9] * quality_net.FILTERS
+            for k in range(0, size - quality_net.WIDTH + 1, quality_net.STRIDE):
+                window = [x for c in codes[k : k + quality_net.WIDTH] for x in net.embed[c].tolist()]
+                for f in range(quality_net.FILTERS):
+                    best[f] = max(best[f], sum(a * b for a, b in zip(window, net.conv[:, f].tolist())))
+            tops.append([max(b + c, 0.0) for b, c in zip(best, net.bias.tolist())])
+        feats = [max(t[f] for t in tops) for f in range(quality_net.FILTERS)] + [sum(t[f] for t in tops) / len(tops) for f in range(quality_net.FILTERS)]
+        want = 1 / (1 + np.exp(-(sum(a * b for a, b in zip(feats, net.out.tolist())) + net.shift)))
+        assert abs(net.scores([raw])[0] - want) < 1e-4
+
+
+def test_quality_of_odd_rows(spark):
+    docs = documents(spark, texts() + [(1007, None), (None, "x " * 90_000)])
+    net = quality_net.QualityNet.fresh()
+    found = quality_net.score(docs, net).collect()
+    assert len(found) == docs.count() and all(0 <= r.score <= 1 for r in found)
+    assert len({r.score for r in found if r.doc_id in (1000, 1001)}) == 1
+    assert quality_net.score(docs.where("false"), quality_net.fit(docs.selectExpr("doc_id", "text", "cast(null as int) as label"))).count() == 0
+
+
+def plain_mixture(logs, bins, rounds):
+    """Expectation-maximisation by loops."""
+    n = len(logs)
+    shares = [1 / n] * n
+    for _ in range(rounds):
+        new = [0.0] * n
+        for b in bins:
+            each = [s * np.exp(logs[i][b]) for i, s in enumerate(shares)]
+            for i in range(n):
+                new[i] += each[i] / sum(each) / len(bins)
+        shares = new
+    return shares
+
+
+def test_mixture_by_plain_em_and_all_sets():
+    """Shares equal a plain EM's; the chosen set has the best penalised likelihood of all sets with the same rule."""
+    import itertools
+
+    r = np.random.default_rng(5)
+    names = ["a", "b", "c", "d"]
+    counts = r.random((4, language_id.BINS)) ** 6 + 1e-3
+    model = language_id.LanguageModel(names, np.log(counts / counts.sum(1, keepdims=True)))
+    agreed = 0
+    for k in range(12):
+        true = sorted(r.choice(4, r.integers(1, 3), replace=False).tolist())
+        bins = np.concatenate([r.choice(language_id.BINS, 150, p=np.exp(model.logs[i]) / np.exp(model.logs[i]).sum()) for i in true])
+        chosen, shares = model.infer(bins)
+        plain = plain_mixture([model.logs[i] for i in chosen], bins, language_id.ROUNDS)
+        assert np.allclose(shares, plain if len(chosen) > 1 else [1.0], atol=1e-9)
+
+        def score(subset):
+            p = plain_mixture([model.logs[i] for i in subset], bins, language_id.ROUNDS)
+            fit = sum(np.log(sum(s * np.exp(model.logs[i][b]) for i, s in zip(subset, p))) for b in bins)
+            return fit / language_id.GRAM - 0.5 * np.log(len(bins)) * len(subset)
+
+        best = max((s for n in (1, 2, 3) for s in itertools.combinations(range(4), n)), key=score)
+        agreed += sorted(chosen) == list(best)
+        assert sorted(chosen) == true
+        long = np.tile(bins, 200)  # the form of counts gives the same
+        assert long.size > language_id._DIRECT and model.infer(long)[0][0] in chosen
+        assert np.allclose(model._mix(np.exp(model.logs[:, bins]), None, len(bins)), plain_mixture(model.logs, bins, language_id.ROUNDS), atol=1e-9)
+    assert agreed == 12
+
+
+def test_numerals_are_no_letters(spark):
+    model = language_id.fit(spark.createDataFrame([(1, "the house of the king", "en")], "doc_id long, text string, lang string"))
+    found = {r.doc_id: r.lang_pred for r in language_id.identify(documents(spark, [(1, "²"), (2, "½ ③"), (3, "Ⅷ"), (4, "ª"), (5, "日")]), model).collect()}
+    assert found == {1: "und", 2: "und", 3: "und", 4: "en", 5: "en"}
+
+
+def test_piece_models_are_checked():
+    raw = sentencepiece.SentencePieceProcessor(model_file=PIECE_BPE).serialized_model_proto()
+    assert sentencepieces.model_kind(raw) == sentencepieces.BPE
+    field = lambda n, body: bytes([n << 3 | 2, len(body)]) + body
+    plain = bytes([3 << 3, 1, 4 << 3, 0])  # a mark in front, white space kept
+    assert sentencepieces.model_kind(field(2, bytes([3 << 3, 1])) + field(3, plain)) == sentencepieces.UNIGRAM
+    for trainer, normal in ((bytes([3 << 3, 3]), plain), (b"", plain + field(2, b"map")), (b"", bytes([4 << 3, 1])), (b"", bytes([3 << 3, 0, 4 << 3, 0]))):
+        with pytest.raises(ValueError):
+            sentencepieces.model_kind(field(2, trainer) + field(3, normal))
+
+
 def test_components(spark):
     links = spark.createDataFrame([(k, k + 1) for k in range(30)] + [(100, 101), (101, 100), (7, 7), (205, 200), (201, 205), (203, 201)], "a long, b long")
     labels = {r.id: r.label for r in components(links).collect()}
