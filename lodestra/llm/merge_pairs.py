@@ -17,7 +17,7 @@ class PairTest:
     """rank: of the merge that makes a token (-1: a single symbol). halves: the two tokens of that merge.
     joined: the rank of the merge of two tokens, NEVER if there is none."""
 
-    def __init__(self, rank: Callable[[int], int], halves: Callable[[int], tuple[int, int]], joined: Callable[[int, int], int], keep: int = 1_000_000):
+    def __init__(self, rank: Callable[[int], int], halves: Callable[[int], tuple[int, int]], joined: Callable[[int, int], int], keep: int = 500_000):
         self.rank, self.halves, self.joined, self.keep = rank, halves, joined, keep
         self.known: dict[tuple[int, int], bool] = {}
 

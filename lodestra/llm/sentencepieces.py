@@ -38,7 +38,7 @@ from lodestra.llm.merge_pairs import NEVER, PairTest
 from lodestra.llm.workers import working
 
 MARK = "▁"
-KEPT_UNITS = 800_000
+KEPT_UNITS = 400_000
 
 
 UNIGRAM, BPE = 1, 2

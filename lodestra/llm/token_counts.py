@@ -5,28 +5,37 @@ its end-of-word form; each transition carries the number of tokens by which the
 far grows or shrinks. It rests on a property of BPE: of all tokens that end at a position, exactly one is
 the last token of the prefix's encoding, the one whose predecessor forms with it a pair that BPE leaves
 alone. So a state need only hold the place in the automaton of all tokens (Aho-Corasick), and for each
-start that a later token may have, the last token there and its relative count. States and transitions
-are made on first use and kept, as are the counts of whole words, both up to a bound.
+start that a later token may have, the last token there and its relative count.
 
-A text is normalised whole and cut into chunks. A chunk's map from entry state to exit state and count
-needs no entry state beyond its first white space, so it is kept as (head, count, tail): the bytes before
-that white space, what lies between, and the unfinished rest. Maps compose associatively, and a text's
-count comes from a pairwise (parallel prefix) scan over its chunks.
+Compilation. The driver builds the automaton and all states and transitions of words that begin some token, and
+sends them to the workers. Words that leave the vocabulary's prefixes reach further states, whose number has no
+useful bound; these are added on first use and kept up to a bound, as are the counts of whole words.
+
+Chunks. A text is normalised whole and cut into chunks. Between words the machine is a small one over characters (in
+letters, in other signs, behind an apostrophe), whose state also holds the transducer's: a Place. A chunk's state map
+from entry place to exit place and count is constant from the chunk's first white space on, so it is kept as the
+characters before that (its dependence on the entry), a count, and the exit place. Maps compose associatively: the
+exit place of one runs over the head of the next. A text's count comes from a pairwise (parallel prefix) scan over
+its chunks' maps, whatever its length.
 
 Defined results: null and empty texts have 0 tokens and 0 bytes. The added tokens of the file are matched
 inside texts before normalisation, as the library does by default, and count 1 each. Repeated rows give
-repeated rows; other columns are ignored.
+repeated rows; other columns are ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
-import functools
 import json
+import pickle
 import unicodedata
+import uuid
+import zlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 import regex
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 
 from lodestra.llm.common import small_batches
@@ -35,8 +44,10 @@ from lodestra.llm.workers import working
 
 CHUNK_CHARS = 4096
 LIMIT_TOKENS = 2048
-KEPT_WORDS, KEPT_STATES = 1_000_000, 250_000
+KEPT_WORDS, KEPT_STATES = 400_000, 100_000
 _START, _NONE = -1, (NEVER, -1)
+#: Fixed value: the split pattern that step() is built for.
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -68,11 +79,20 @@ class Transducer:
             a, b = symbols(a), symbols(b)
             if a + b in self.ids:
                 self.merges.setdefault((self.ids[a], self.ids[b]), (rank, self.ids[a + b]))
-        made = {t: (rank, pair) for pair, (rank, t) in reversed(self.merges.items())}
-        self.allowed = PairTest(lambda t: made[t][0] if t in made else -1, lambda t: made[t][1], lambda x, y: self.merges.get((x, y), _NONE)[0])
+        self.made = {t: (rank, pair) for pair, (rank, t) in reversed(self.merges.items())}
+        self.allowed = PairTest(self._rank, self._halves, self._joined)
         self._automaton()
         self.words: dict[str, int] = {}
-        self.forget()
+        self._compile()
+
+    def _rank(self, token: int) -> int:
+        return self.made[token][0] if token in self.made else -1
+
+    def _halves(self, token: int) -> tuple[int, int]:
+        return self.made[token][1]
+
+    def _joined(self, a: int, b: int) -> int:
+        return self.merges.get((a, b), _NONE)[0]
 
     def _automaton(self) -> None:
         self.next: list[dict[str, int]] = [{}]
@@ -101,16 +121,35 @@ class Transducer:
             back = self.fail[node]
             self.output[node] = back if self.token[back] >= 0 else self.output[back]
 
+    def _compile(self) -> None:
+        """The states and transitions of all words that begin a token. The last symbol of a word leads nowhere."""
+        first = (0, (_START,), (0,))
+        self.states, self.defined, self.moves = {first: 0}, [first], [{}]
+        at = 0
+        while at < len(self.defined):
+            node, last, _ = self.defined[at]
+            for symbol in self.next[node] if len(last) == self.depth[node] + 1 else ():
+                self.move(at, symbol)
+            at += 1
+        self.compiled = len(self.defined)
+
     def forget(self) -> None:
-        self.states = {(0, (_START,), (0,)): 0}
-        self.defined = [(0, (_START,), (0,))]
-        self.moves: list[dict[str, tuple[int, int]]] = [{}]
+        """Back to the compiled states."""
+        n = self.compiled
+        del self.defined[n:], self.moves[n:]
+        self.states = {key: state for key, state in self.states.items() if state < n}
+        self.moves = [{c: m for c, m in moves.items() if m[0] < n} for moves in self.moves]
 
     def forget_all(self) -> None:
         self.words.clear()
         self.allowed.known.clear()
         self.forget()
 
+    def bound(self) -> None:
+        """Called between texts."""
+        if len(self.defined) - self.compiled >= KEPT_STATES:
+            self.forget()
+
     def move(self, state: int, symbol: str) -> tuple[int, int]:
         node, last, counts = self.defined[state]
         while node and symbol not in self.next[node]:
@@ -126,6 +165,9 @@ class Transducer:
             raise ValueError(f"no token of the vocabulary ends with {symbol!r}")
         grown = counts[start] + 1
         keep = self.depth[node] + 1
+        if symbol >= "\u0100":  # the end of a word
+            self.moves[state][symbol] = 0, grown
+            return 0, grown
         key = (node, (*last, token)[-keep:], tuple(c - grown for c in (*counts, grown)[-keep:]))
         to = self.states.get(key)
         if to is None:
@@ -147,12 +189,28 @@ class Transducer:
         if known is None:
             if len(self.words) >= KEPT_WORDS:
                 self.words.clear()
-            if len(self.defined) >= KEPT_STATES:
-                self.forget()
-            symbols = word.encode().decode("latin-1")
-            known = self.words[word] = self.run(0, symbols[:-1] + chr(256 + ord(symbols[-1])))[1]
+            known = self.words[word] = self.ended(0, word)
         return known
 
+    def ended(self, state: int, rest: str) -> int:
+        """What a word's last characters, one or more, add to the count from a state on."""
+        symbols = rest.encode().decode("latin-1")
+        return self.run(state, symbols[:-1] + chr(256 + ord(symbols[-1])))[1]
+
+
+class Place(NamedTuple):
+    """Where the machine stands in a text: the kind of word it is in ('' for none, 'L' letters, 'O' other signs, "'"
+    and what follows it so far), the transducer's state, and the last character, which may end the word."""
+
+    kind: str
+    state: int
+    last: str
+
+
+_BETWEEN = Place("", 0, "")
+#: The word endings that stand alone behind an apostrophe.
+_CLIPS = ("s", "t", "re", "ve", "m", "ll", "d")
+
 
 class Counter:
     """Counts of whole texts for a tokenizer file: normalise, split, transduce, compose."""
@@ -163,11 +221,11 @@ class Counter:
         model = spec["model"]
         kinds = [x["type"] for x in spec["normalizer"]["normalizers"]]
         split, level = spec["pre_tokenizer"]["pretokenizers"]
-        if model["type"] != "BPE" or not model["end_of_word_suffix"] or kinds != ["NFC", "Replace", "Lowercase"] or split["type"] != "Split" or not split["invert"] or level["use_regex"]:
+        if model["type"] != "BPE" or not model["end_of_word_suffix"] or kinds != ["NFC", "Replace", "Lowercase"] or split["type"] != "Split" or not split["invert"] or level["use_regex"] or split["pattern"]["Regex"] != _SPLIT:
             raise ValueError(f"{path} is not a lower-casing word BPE")
         self.machine = Transducer(model["vocab"], model["merges"], model["end_of_word_suffix"])
         self.pattern = regex.compile(split["pattern"]["Regex"].replace(r"\s", r"\p{White_Space}"))
-        self.space = regex.compile(r"\p{White_Space}")
+        self.space, self.letter, self.digit = (regex.compile(x) for x in (r"\p{White_Space}", r"\p{L}", r"\p{N}"))
         added = [x["content"] for x in spec["added_tokens"]]
         self.added = regex.compile("|".join(map(regex.escape, sorted(added, key=len, reverse=True)))) if added else None
 
@@ -176,34 +234,76 @@ class Counter:
         count, words = self.machine.count, self.machine.words
         return sum(words[w] if w in words else count(w) for w in self.pattern.findall(text))
 
-    def chunk_map(self, chunk: str) -> tuple[str, int | None, str]:
-        """(head, count, tail); the count is None where the chunk has no white space and is all head."""
+    def _kind(self, c: str) -> str:
+        return "" if self.space.match(c) else "L" if self.letter.match(c) else "N" if self.digit.match(c) else "O"
+
+    def step(self, place: Place, c: str) -> tuple[Place, int]:
+        """The machine's transition on one character, with the tokens it emits."""
+        machine, kind = self.machine, self._kind(c)
+        if place.kind[:1] == "'":
+            clip = place.kind[1:] + c
+            if clip in _CLIPS:
+                return _BETWEEN, machine.count("'" + clip)
+            if any(x.startswith(clip) for x in _CLIPS):
+                return Place("'" + clip, 0, ""), 0
+            # No clip: the apostrophe is a sign, and what came behind it begins a word of letters.
+            if place.kind == "'" and kind == "O":
+                return Place("O", machine.run(0, "'")[0], c), machine.run(0, "'")[1]
+            to, n = (_BETWEEN, 0) if place.kind == "'" else (Place("L", 0, place.kind[1:]), 0)
+            after, more = self.step(to, c)
+            return after, machine.count("'") + n + more
+        if kind == place.kind and kind in ("L", "O"):
+            state, n = machine.run(place.state, place.last.encode().decode("latin-1"))
+            return Place(kind, state, c), n
+        n = self.finish(place)
+        if kind == "":
+            return _BETWEEN, n
+        if kind == "N":
+            return _BETWEEN, n + machine.count(c)
+        return Place("'" if c == "'" else kind, 0, "" if c == "'" else c), n
+
+    def finish(self, place: Place) -> int:
+        """What the end of the text adds to the count."""
+        if place.kind[:1] == "'":
+            return self.machine.count("'") + (self.machine.count(place.kind[1:]) if place.kind[1:] else 0)
+        return self.machine.ended(place.state, place.last) if place.last else 0
+
+    def walk(self, place: Place, text: str) -> tuple[Place, int]:
+        total = 0
+        for c in text:
+            place, n = self.step(place, c)
+            total += n
+        return place, total
+
+    def chunk_map(self, chunk: str) -> tuple[str, int, Place | None]:
+        """(head, count, exit): the exit is None where the chunk has no white space and is all head."""
         first = self.space.search(chunk)
         if first is None:
-            return chunk, None, ""
+            return chunk, 0, None
         tail = len(chunk) - 1
         while not self.space.match(chunk, tail):
             tail -= 1
-        return chunk[: first.start()], self.pieces(chunk[first.start() : tail + 1]), chunk[tail + 1 :]
+        exit_, n = self.walk(_BETWEEN, chunk[tail + 1 :])
+        return chunk[: first.start()], self.pieces(chunk[first.start() : tail + 1]) + n, exit_
 
     def compose(self, a: tuple, b: tuple) -> tuple:
-        if a[1] is None and b[1] is None:
-            return a[0] + b[0], None, ""
-        if a[1] is None:
+        """The map of two chunks in a row."""
+        if a[2] is None:
             return a[0] + b[0], b[1], b[2]
-        if b[1] is None:
-            return a[0], a[1], a[2] + b[0]
-        return a[0], a[1] + self.pieces(a[2] + b[0]) + b[1], b[2]
+        place, n = self.walk(a[2], b[0])
+        if b[2] is None:
+            return a[0], a[1] + n, place
+        return a[0], a[1] + n + self.finish(place) + b[1], b[2]
 
     def plain(self, text: str) -> int:
         text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
-        if len(text) <= CHUNK_CHARS:
-            return self.pieces(text)
-        maps = [self.chunk_map(text[i : i + CHUNK_CHARS]) for i in range(0, len(text), CHUNK_CHARS)]
+        self.machine.bound()
+        maps = [self.chunk_map(text[i : i + CHUNK_CHARS]) for i in range(0, len(text), CHUNK_CHARS)] or [("", 0, None)]
         while len(maps) > 1:
             maps = [self.compose(*maps[i : i + 2]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
-        head, inner, tail = maps[0]
-        return self.pieces(head) + (inner or 0) + self.pieces(tail)
+        head, inner, exit_ = maps[0]
+        place, n = self.walk(_BETWEEN, head)
+        return n + self.finish(place) + inner + (self.finish(exit_) if exit_ else 0)
 
     def count(self, text: str) -> int:
         if self.added is None or not self.added.search(text):
@@ -211,18 +311,25 @@ class Counter:
         return sum(map(self.plain, self.added.split(text))) + len(self.added.findall(text))
 
 
-@functools.lru_cache(maxsize=2)
-def counter(path: str) -> Counter:
-    return Counter(path)
+_counter: dict[str, Counter] = {}
+
+
+def _worker_counter(name: str, shared: Broadcast) -> Counter:
+    """The compiled tokenizer that the driver sent, read once a worker."""
+    if name not in _counter:
+        _counter.clear()
+        _counter[name] = pickle.loads(zlib.decompress(shared.value))
+    return _counter[name]
 
 
 def token_counts(docs: DataFrame, path: str, limit: int = LIMIT_TOKENS) -> DataFrame:
     """doc_id, n_bytes, n_tokens and over_limit (more than `limit` tokens) of every text."""
     small_batches(docs.sparkSession)
+    name, shared = uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast(zlib.compress(pickle.dumps(Counter(path)), 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = counter(path)
-        working("tokens", machine.machine.forget_all)
+        machine = _worker_counter(name, shared)
+        working("tokens", _counter.clear)
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             tokens = [machine.count(t) for t in texts]
