@@ -5,9 +5,10 @@ occurs. Each term's two 64-bit hashes vote, with that weight, on 128 signed bits
 sign of each sum, as 32 hex digits. The votes are counted in packed lanes: sixteen masked sums a hash hold
 four 16-bit counters each, and a text is counted in pieces of fewer terms than a lane can hold.
 
-edited_fingerprints() needs each document's successor by doc_id. Documents are cut into buckets by id
-range (bounds from approximate quantiles, a short list); a window inside each bucket finds successors, and
-a copy of each bucket's first document stands at the end of the bucket before it. So texts move once.
+edited_fingerprints() needs each document's successor by doc_id. Equal rows collapse first, with their number, so
+that no group of copies meets in one task. Keys without texts (id and text hash) are sorted into ranges, a window
+inside each range finds neighbours, and one row a range carries over its ends. Then a text moves once, to its own key,
+and of each text only the part that its predecessor's edit takes moves once more.
 
 within() finds all fingerprints within a Hamming radius of given ones by permuted block tables: with
 `blocks` blocks and at most `radius` wrong bits, blocks - radius blocks are right, so there is one table
@@ -18,21 +19,21 @@ near_classes() covers edited copies: five-word terms at Jaccard similarity 0.8 d
 fingerprints, 16 bytes each, are broadcast and every fingerprint is compared with each of them.
 
 Defined results: null texts count as empty; a text without words has the fingerprint 0. A null doc_id sorts
-first. Rows with equal ids are ordered by text. In a table of one row the row follows itself.
+first. Rows with equal ids are ordered by the text's hash. In a table of one row the row follows itself. An empty
+table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestra.llm.common import inner_id, outer_id, partitions
+from lodestra.llm.common import inner_id, outer_id, partitions, settled
 
 TERM_WORDS, BITS, RADIUS, BLOCKS = 5, 128, 6, 8
 NEAR_RADIUS = 28
-ROWS_PER_BUCKET = 3000
 _LANES, _PIECE = 16, 32_000
 _SPACE = r"[\x20\x09-\x0D]+"
 
@@ -88,50 +89,54 @@ def fingerprint_rows(rows: DataFrame, keys: list[str], texts: dict[str, str]) ->
     return whole.select(*keys, *(_half(f"__p_{name}", f"__n_{name}", h).alias(f"{name}_{h + 1}") for name in texts for h in (0, 1)))
 
 
-def range_bucket(value: Column, bounds: list[int]) -> Column:
-    """How many bounds lie below a value; two short searches, however many bounds there are."""
-    if len(bounds) <= 256:
-        return F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < value)) if bounds else F.lit(0)
-    step = int(len(bounds) ** 0.5) + 1
-    runs = [bounds[i : i + step] for i in range(0, len(bounds), step)]
-    coarse = F.size(F.filter(F.array(*[F.lit(r[-1]) for r in runs[:-1]]), lambda b: b < value))
-    fine = F.get(F.array(*[F.array(*map(F.lit, r)) for r in runs]), coarse)
-    return coarse * step + F.size(F.filter(fine, lambda b: b < value))
+_KEY = ["__id", "__h1", "__h2"]
 
 
-def successors(docs: DataFrame) -> DataFrame:
-    """__b, __id, __text, __next (the next row's text), __row, __copy, partitioned by __b. Rows with __copy
-    repeat the first row of the next bucket, to be dropped at the end."""
+def neighbours(spark: SparkSession, rows: DataFrame) -> DataFrame:
+    """For each distinct key of rows(__id, __h1, __h2, __text): n (the text's length), copies, and the keys after and
+    before it (after, before; the latter with its n) in the order of keys, the last one followed by the first."""
+    light = rows.groupBy(*_KEY).agg(F.count(F.lit(1)).alias("copies"), F.first(F.char_length("__text")).alias("n"))
+    # Written, so that the ranges are the same for all their readers.
+    ranges = settled(spark, light.repartitionByRange(partitions(spark), *_KEY).withColumn("__r", F.spark_partition_id()))
+    inside = Window.partitionBy("__r").orderBy(*_KEY)
+    key, sized = F.struct(*_KEY), F.struct(*_KEY, "n")
+    ends = ranges.groupBy("__r").agg(F.min(key).alias("f"), F.max(sized).alias("l"))
+    # One row a range: as many as the session has shuffle partitions.
+    by, all_ = Window.orderBy("__r"), Window.orderBy("__r").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    ends = ends.select("__r", F.coalesce(F.lead("f").over(by), F.min("f").over(all_)).alias("f"), F.coalesce(F.lag("l").over(by), F.max("l").over(all_)).alias("l"))
+    near = ranges.select("*", F.lead(key).over(inside).alias("x"), F.lag(sized).over(inside).alias("y")).join(ends, "__r")
+    return near.select(*_KEY, "n", "copies", F.coalesce("x", "f").alias("after"), F.coalesce("y", "l").alias("before"))
+
+
+def edited_texts(docs: DataFrame) -> DataFrame:
+    """__id, __h1, __h2, own (the text), new (the edited text), n_chars, after (the next document's key), same (the next
+    document is an equal row) and rows (how many rows this stands for)."""
+    spark = docs.sparkSession
     rows = docs.select(inner_id().alias("__id"), F.coalesce("text", F.lit("")).alias("__text"))
-    n = max(partitions(docs.sparkSession), -(-rows.count() // ROWS_PER_BUCKET))
-    bounds = rows.select(F.percentile_approx("__id", [i / n for i in range(1, n)], 10_000).alias("q")).first()["q"] if n > 1 else []
-    rows = rows.withColumn("__b", range_bucket(F.col("__id"), sorted(set(bounds or []))).cast("int"))
-    # The first row of each bucket, by ids alone; there are as many as buckets.
-    firsts = rows.groupBy("__b").agg(F.min("__id").alias("__id"))
-    around = Window.orderBy("__b")
-    backs = F.coalesce(F.lag("__b").over(around), F.max("__b").over(around.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    firsts = firsts.select("__id", backs.alias("__before"))
-    if n <= 1 << 16:  # at most 1 MB
-        firsts = F.broadcast(firsts)
-    copies = rows.join(firsts, "__id").groupBy("__before").agg(F.min(F.struct("__id", "__text")).alias("x"))
-    copies = copies.select(F.col("__before").alias("__b"), "x.__id", "x.__text", F.lit(True).alias("__copy"))
-    every = rows.select("__b", "__id", "__text", F.lit(False).alias("__copy")).unionByName(copies)
-    order = Window.partitionBy("__b").orderBy("__copy", "__id", "__text")
-    return every.select("*", F.lead("__text").over(order).alias("__next"), F.row_number().over(order).alias("__row"))
+    rows = rows.select("__id", F.xxhash64("__text").alias("__h1"), F.xxhash64(F.lit(1), "__text").alias("__h2"), "__text")
+    texts = rows.groupBy(*_KEY).agg(F.first("__text").alias("own"))
+    placed = texts.join(neighbours(spark, rows), _KEY)
+    taken = placed.select(*(F.col(f"before.{k}").alias(k) for k in _KEY), F.substring("own", F.lit(1), F.floor(F.col("before.n") / 2).cast("int")).alias("taken"))
+    half = F.floor(F.col("n") / 2).cast("int")
+    kept = F.substring("own", F.lit(1), F.col("n") - half)
+    kinds = F.array(F.struct(F.lit(False).alias("same"), F.lit(1).cast("long").alias("rows"), F.col("taken")))
+    more = F.array(F.struct(F.lit(True).alias("same"), (F.col("copies") - 1).alias("rows"), F.substring("own", F.lit(1), half).alias("taken")))
+    both = placed.join(taken, _KEY).withColumn("x", F.explode(F.when(F.col("copies") > 1, F.concat(kinds, more)).otherwise(kinds)))
+    return both.select(*_KEY, "own", F.concat(kept, F.col("x.taken")).alias("new"), F.col("n").cast("long").alias("n_chars"), "after", "x.same", "x.rows")
 
 
 def edited_fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited and near_next: the
     share of equal bits with the edited text's and with the next document's fingerprint."""
-    rows = successors(docs)
-    n = F.char_length("__text")
-    half = F.floor(n / 2).cast("int")
-    edited = F.concat(F.substring("__text", F.lit(1), n - half), F.substring(F.coalesce("__next", F.lit("")), F.lit(1), half))
-    rows = rows.select("__b", "__row", "__copy", "__id", n.cast("long").alias("n_chars"), "__text", edited.alias("__edited"))
-    rows = rows.withColumn("edited_sha256", F.sha2("__edited", 256))
-    found = fingerprint_rows(rows, ["__b", "__row", "__copy", "__id", "n_chars", "edited_sha256"], {"own": "__text", "new": "__edited"})
-    order = Window.partitionBy("__b").orderBy("__row")
-    found = found.select("*", *(F.lead(f"own_{h}").over(order).alias(f"next_{h}") for h in (1, 2))).where(~F.col("__copy"))
+    spark = docs.sparkSession
+    rows = edited_texts(docs).withColumn("edited_sha256", F.sha2("new", 256))
+    after = [F.col(f"after.{k}").alias(f"next{k}") for k in _KEY]
+    rows = rows.select(*_KEY, "same", "rows", "n_chars", "edited_sha256", *after, "own", "new")
+    found = settled(spark, fingerprint_rows(rows, rows.columns[:-2], {"own": "own", "new": "new"}))
+    others = found.where("not same").select(*(F.col(k).alias(f"next{k}") for k in _KEY), F.col("own_1").alias("next_1"), F.col("own_2").alias("next_2"))
+    found = found.join(others, [f"next{k}" for k in _KEY])
+    found = found.withColumns({f"next_{h}": F.when(F.col("same"), F.col(f"own_{h}")).otherwise(F.col(f"next_{h}")) for h in (1, 2)})
+    found = found.withColumn("__turn", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))))
 
     def like(other: str) -> Column:
         return 1 - sum(F.bit_count(F.col(f"own_{h}").bitwiseXOR(F.col(f"{other}_{h}"))) for h in (1, 2)) / F.lit(float(BITS))

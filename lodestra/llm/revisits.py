@@ -5,13 +5,15 @@ as-of join finds that response; validators decide whether the revisit may stand
 weak comparison if both sides have one, else modification times, else payload digests); then the revisit's
 permitted headers replace the response's and all others stay as they were.
 
-The as-of join is a window over (URL, time slice); what the earlier slices hold of a URL is one row a slice,
-carried forward by a second window. So a URL with a third of all records is spread over all slices, whose
-bounds are quantiles of the times. Record bodies are not read.
+Records are sorted into slices by URL and time, about SLICE_ROWS each, and written to the shared folder. The as-of
+join is a window over (URL, slice); what the earlier slices hold of a URL is one row a slice, carried forward by a
+second window. So a URL with a third of all records is spread over as many slices as its records need. Record bodies
+are not read.
 
 Defined results: only a strictly earlier response counts; of several at one time, the one with the
-largest record_id. A null URL, or a null time, is in no relation to others. States: resolved, unvalidated (a
-response, but no validator on both sides), mismatch, no_source. Header names compare without regard to
+largest record_id. A null URL, or a null time, is in no relation to others: such records go round the windows. States:
+resolved, unvalidated (a response, but no validator on both sides: nothing speaks against it, so headers merge as in
+resolved, and the state tells them apart), mismatch, no_source. Header names compare without regard to
 case; repeated headers all stay. Repeated revisits give repeated rows. An empty table gives no rows.
 """
 
@@ -20,8 +22,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestra.llm.common import partitions
-from lodestra.llm.fingerprints import range_bucket
+from lodestra.llm.common import partitions, settled
+
+SLICE_ROWS = 100_000
 
 #: Headers that a not-modified response may update (RFC 9110, 15.4.5, and RFC 9111, 3.2).
 PERMITTED = ["cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary"]
@@ -48,18 +51,18 @@ def resolve(records: DataFrame) -> DataFrame:
     digest (the response's, if resolved) and headers (merged; the revisit's own, if it has no source)."""
     spark = records.sparkSession
     rows = records.select("record_id", canonical_url("url").alias("url_key"), F.col("ts").cast("long").alias("ts"), "revisit", "etag", F.col("last_modified").cast("long").alias("last_modified"), "digest", "headers")
-    n = partitions(spark)
-    bounds = rows.select(F.percentile_approx("ts", [i / n for i in range(1, n)], 10_000).alias("q")).first()["q"] if n > 1 else []
-    rows = rows.withColumn("slice", F.coalesce(range_bucket(F.col("ts"), sorted(set(bounds or []))), F.lit(-1)))
-    known = F.when(~F.col("revisit") & F.col("ts").isNotNull() & F.col("url_key").isNotNull(), F.struct("ts", "record_id", "etag", "last_modified", "digest", "headers"))
-    rows = rows.withColumn("full", known)
+    placed = F.col("ts").isNotNull() & F.col("url_key").isNotNull()
+    n = max(partitions(spark), -(-rows.count() // SLICE_ROWS))
+    sorted_ = settled(spark, rows.where(placed).repartitionByRange(n, "url_key", "ts").withColumn("slice", F.spark_partition_id()))
+    sorted_ = sorted_.withColumn("full", F.when(~F.col("revisit"), F.struct("ts", "record_id", "etag", "last_modified", "digest", "headers")))
     inside = Window.partitionBy("url_key", "slice").orderBy("ts").rangeBetween(Window.unboundedPreceding, -1)
-    seen = rows.withColumn("near", F.max("full").over(inside)).where("revisit")
-    slices = rows.groupBy("url_key", "slice").agg(F.max("full").alias("last"))
+    seen = sorted_.withColumn("near", F.max("full").over(inside)).where("revisit")
+    slices = sorted_.groupBy("url_key", "slice").agg(F.max("full").alias("last"))
     before = Window.partitionBy("url_key").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     carried = slices.select("url_key", "slice", F.max("last").over(before).alias("far")).where("far is not null")
-    met = seen.join(carried, ["url_key", "slice"], "left")
-    source = F.when(F.col("ts").isNotNull() & F.col("url_key").isNotNull(), F.coalesce("near", "far"))
+    met = seen.join(carried, ["url_key", "slice"], "left").drop("slice", "full")
+    met = met.unionByName(rows.where(~placed & F.col("revisit")), allowMissingColumns=True)
+    source = F.coalesce("near", "far")
     met = met.withColumn("s", source).select("*", F.col("s.etag").alias("s_etag"), F.col("s.headers").alias("s_headers"))
     same = (
         F.when(F.col("etag").isNotNull() & F.col("s_etag").isNotNull(), _weak("etag") == _weak("s_etag"))
