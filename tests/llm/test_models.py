@@ -100,8 +100,11 @@ def test_pairs_that_merging_leaves_alone():
 
 
 def test_fingerprints(spark):
-    rows = sorted(texts() + [(1007, "zz yy"), (1007, "aa bb")], key=lambda r: (LOW if r[0] is None else r[0], r[1] or ""))
+    rows = texts() + [(1007, "zz yy"), (1007, "aa bb"), (1007, "aa bb"), (1007, "aa bb")]
+    text = F.coalesce("text", F.lit(""))
+    ordered = documents(spark, rows).select("doc_id", "text").orderBy(F.asc_nulls_first("doc_id"), F.xxhash64(text), F.xxhash64(F.lit(1), text))
     found = fingerprints.edited_fingerprints(documents(spark, rows)).collect()
+    rows = [tuple(r) for r in ordered.collect()]
     key = lambda i, n, h: (LOW if i is None else i, n, h)
     want = []
     for k, (i, t) in enumerate(rows):
@@ -109,6 +112,7 @@ def test_fingerprints(spark):
         half = len(t) // 2
         want.append(key(i, len(t), hashlib.sha256((t[: len(t) - half] + after[:half]).encode()).hexdigest()))
     assert sorted(key(r.doc_id, r.n_chars, r.edited_sha256) for r in found) == sorted(want)
+    assert sorted(r.near_next for r in found if r.doc_id == 1007)[-2:] == [1.0, 1.0]  # equal rows follow each other
     by_id = {r.doc_id: r for r in found}
     assert by_id[1008].fingerprint == by_id[135 // 3 * 0 + 1008].fingerprint and by_id[1003].fingerprint == by_id[1004].fingerprint
     assert by_id[1000].fingerprint == "0" * 32 and by_id[1001].near_next == 1.0
@@ -116,6 +120,8 @@ def test_fingerprints(spark):
     assert by_id[0].near_edited == 1 - far(by_id[0].fingerprint, by_id[0].edited_fingerprint) / 128
     assert by_id[0].near_next == 1 - far(by_id[0].fingerprint, by_id[3].fingerprint) / 128
     assert fingerprints.edited_fingerprints(documents(spark, []).where("false")).count() == 0
+    alone = fingerprints.edited_fingerprints(documents(spark, [(1, "ab cd ef")])).collect()
+    assert len(alone) == 1 and alone[0].near_next == 1.0 and alone[0].edited_sha256 == hashlib.sha256(b"ab cab c").hexdigest()
 
 
 def test_fingerprint_votes(spark):
@@ -197,6 +203,23 @@ def test_revisits(spark):
     assert revisits.resolve(spark.createDataFrame([], schema)).count() == 0
 
 
+@pytest.mark.parametrize("rows_a_slice", [3, 100_000])
+def test_revisits_of_hot_urls_brute_force(spark, monkeypatch, rows_a_slice):
+    """One URL with most of the records, spread over many slices or in one, repeated records, null urls and times."""
+    monkeypatch.setattr(revisits, "SLICE_ROWS", rows_a_slice)
+    r = random.Random(6)
+    schema = "record_id long, url string, ts long, revisit boolean, etag string, last_modified long, digest string, headers array<struct<name:string,value:string>>, slice string"
+    rows = [(i, r.choice(["a.example/x"] * 8 + ["b.example", None]), r.choice([r.randrange(40)] * 9 + [None]), r.random() < 0.5, None, None, None, None, "x") for i in range(150)]
+    rows += [x for x in rows[:20] if x[3]]
+    found = sorted((x.record_id, x.source_id) for x in revisits.resolve(spark.createDataFrame(rows, schema)).select("record_id", "source_id").collect())
+    want = []
+    for i, u, t, again, *_ in rows:
+        if again:
+            full = [(y[2], y[0]) for y in rows if not y[3] and u is not None and y[1] == u and t is not None and y[2] is not None and y[2] < t]
+            want.append((i, max(full)[1] if full else None))
+    assert found == sorted(want, key=lambda x: (x[0], x[1] is not None, x[1] or 0)) or sorted(found, key=str) == sorted(want, key=str)
+
+
 def test_language_id(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     found = queries.op7_language_id(spark, small).join(docs.select("doc_id", "lang", F.length("text").alias("n")), "doc_id")
