@@ -17,18 +17,23 @@ class PairTest:
     """rank: of the merge that makes a token (-1: a single symbol). halves: the two tokens of that merge.
     joined: the rank of the merge of two tokens, NEVER if there is none."""
 
-    def __init__(self, rank: Callable[[int], int], halves: Callable[[int], tuple[int, int]], joined: Callable[[int, int], int], keep: int = 500_000):
+    def __init__(self, rank: Callable[[int], int], halves: Callable[[int], tuple[int, int]], joined: Callable[[int, int], int], keep: int = 300_000):
         self.rank, self.halves, self.joined, self.keep = rank, halves, joined, keep
         self.known: dict[tuple[int, int], bool] = {}
+        self.old: dict[tuple[int, int], bool] = {}  # the generation before, so that what is asked often stays
 
     def __call__(self, a: int, b: int) -> bool:
         answer = self.known.get((a, b))
         if answer is None:
             if len(self.known) >= self.keep:
-                self.known.clear()
-            answer = self.known[a, b] = self._stays(a, b)
+                self.old, self.known = self.known, {}
+            answer = self.old.get((a, b))
+            answer = self.known[a, b] = self._stays(a, b) if answer is None else answer
         return answer
 
+    def forget(self) -> None:
+        self.known, self.old = {}, {}
+
     def _stays(self, a: int, b: int) -> bool:
         limit = NEVER
         while True:

@@ -38,7 +38,7 @@ from lodestra.llm.merge_pairs import NEVER, PairTest
 from lodestra.llm.workers import working
 
 MARK = "▁"
-KEPT_UNITS = 400_000
+KEPT_UNITS = 300_000
 
 
 UNIGRAM, BPE = 1, 2
@@ -108,6 +108,7 @@ class PieceModel:
         rank = [-1 if len(p) == 1 else int(-s) for p, s in zip(pieces, self.score)] if self.bpe else []
         self.allowed = PairTest(rank.__getitem__, self.halves, lambda a, b: rank[i] if (i := self.ids.get(pieces[a] + pieces[b], -1)) >= 0 else NEVER)
         self.kept: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}  # the generation before
         raw = [bytes([int(p[3:5], 16)]) if own.is_byte(i) else b"" if own.is_control(i) else b" \xe2\x81\x87 " if own.is_unknown(i) else p.replace(MARK, " ").encode() for i, p in enumerate(pieces)]
         self.raw = np.frombuffer(b"".join(raw), np.uint8)
         self.length = np.array([len(r) for r in raw], np.int64)
@@ -162,9 +163,9 @@ class PieceModel:
         return out[::-1]
 
     def forget(self) -> None:
-        self.kept.clear()
+        self.kept, self.old = {}, {}
         self.split.clear()
-        self.allowed.known.clear()
+        self.allowed.forget()
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian 32-bit numbers."""
@@ -175,8 +176,11 @@ class PieceModel:
             ids = kept.get(unit)
             if ids is None:
                 if len(kept) >= KEPT_UNITS:
-                    kept.clear()
-                ids = np.array(self.unit(unit), "<i4").tobytes()
+                    self.old, self.kept = kept, {}
+                    kept = self.kept
+                ids = self.old.get(unit)
+                if ids is None:
+                    ids = np.array(self.unit(unit), "<i4").tobytes()
                 if len(unit) <= 64:
                     kept[unit] = ids
             out.append(ids)

@@ -44,7 +44,7 @@ from lodestra.llm.workers import working
 
 CHUNK_CHARS = 4096
 LIMIT_TOKENS = 2048
-KEPT_WORDS, KEPT_STATES = 400_000, 100_000
+KEPT_WORDS, KEPT_STATES = 500_000, 250_000
 _START, _NONE = -1, (NEVER, -1)
 #: Fixed value: the split pattern that step() is built for.
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -83,6 +83,7 @@ class Transducer:
         self.allowed = PairTest(self._rank, self._halves, self._joined)
         self._automaton()
         self.words: dict[str, int] = {}
+        self.old: dict[str, int] = {}  # the generation before
         self._compile()
 
     def _rank(self, token: int) -> int:
@@ -140,11 +141,6 @@ class Transducer:
         self.states = {key: state for key, state in self.states.items() if state < n}
         self.moves = [{c: m for c, m in moves.items() if m[0] < n} for moves in self.moves]
 
-    def forget_all(self) -> None:
-        self.words.clear()
-        self.allowed.known.clear()
-        self.forget()
-
     def bound(self) -> None:
         """Called between texts."""
         if len(self.defined) - self.compiled >= KEPT_STATES:
@@ -188,8 +184,9 @@ class Transducer:
         known = self.words.get(word)
         if known is None:
             if len(self.words) >= KEPT_WORDS:
-                self.words.clear()
-            known = self.words[word] = self.ended(0, word)
+                self.old, self.words = self.words, {}
+            known = self.old.get(word)
+            known = self.words[word] = self.ended(0, word) if known is None else known
         return known
 
     def ended(self, state: int, rest: str) -> int:
@@ -226,16 +223,20 @@ class Counter:
         self.machine = Transducer(model["vocab"], model["merges"], model["end_of_word_suffix"])
         self.pattern = regex.compile(split["pattern"]["Regex"].replace(r"\s", r"\p{White_Space}"))
         self.space, self.letter, self.digit = (regex.compile(x) for x in (r"\p{White_Space}", r"\p{L}", r"\p{N}"))
+        self.kinds: dict[str, str] = {}
         added = [x["content"] for x in spec["added_tokens"]]
         self.added = regex.compile("|".join(map(regex.escape, sorted(added, key=len, reverse=True)))) if added else None
 
     def pieces(self, text: str) -> int:
         """The tokens of normalised text without white space at a cut: its words' counts."""
-        count, words = self.machine.count, self.machine.words
-        return sum(words[w] if w in words else count(w) for w in self.pattern.findall(text))
+        count = self.machine.count
+        return sum(map(count, self.pattern.findall(text)))
 
     def _kind(self, c: str) -> str:
-        return "" if self.space.match(c) else "L" if self.letter.match(c) else "N" if self.digit.match(c) else "O"
+        known = self.kinds.get(c)
+        if known is None:
+            known = self.kinds[c] = "" if self.space.match(c) else "L" if self.letter.match(c) else "N" if self.digit.match(c) else "O"
+        return known
 
     def step(self, place: Place, c: str) -> tuple[Place, int]:
         """The machine's transition on one character, with the tokens it emits."""
