@@ -261,4 +261,4 @@ def round_trip(docs: DataFrame, path: str, keep_pieces: bool = False, keep_colum
     schema = StructType(list(given.schema.fields))
     for name, kind in new:
         schema = schema.add(free_name(given.columns, name), kind)
-    return docs.select(*(docs[c] for c in given.columns), F.col("text").alias("__text")).mapInArrow(run, schema)
+    return docs.select(*(docs[c] for c in given.columns), F.col("text").alias(free_name(given.columns, "__text"))).mapInArrow(run, schema)
