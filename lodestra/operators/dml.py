@@ -68,7 +68,7 @@ def delete(table: DataFrame, where: Column | None = None) -> Change:
 def violations_unique(table: DataFrame, keys: list[str]) -> DataFrame:
     """Keys that occur more than once; NULLs differ from each other."""
     known = table.where(" and ".join(f"`{k}` is not null" for k in keys))
-    return known.groupBy(*keys).count().where("count > 1")
+    return known.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1")
 
 
 def violations_check(table: DataFrame, condition: Column) -> DataFrame:

@@ -10,9 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestra.functions.misc import Sequence, Settings
-from lodestra.operators import dml
 from lodestra.plans import statements as st
-from lodestra.plans.storage import settled
+from lodestra.plans.tables import Tables
 from lodestra.sources import readers
 
 CONF = {
@@ -50,13 +49,13 @@ def sqlstate(error: Exception) -> str | None:
     return next((code for condition, code in SQLSTATES.items() if condition in text), None)
 
 
-class Engine:
+class Engine(Tables):
     """A session over one SparkSession. Statements see the views attached here."""
 
     def __init__(self, spark: SparkSession, conf: dict[str, str] | None = None, clock: Callable[[], datetime] | None = None):
         self.spark, self.clock = spark.newSession(), clock
         self.used: Sequence | None = None
-        self.tables: dict[str, DataFrame] = {}
+        self._start()
         for k, v in (CONF | (conf or {})).items():
             self.spark.conf.set(k, v)
         self.settings, self.sequences, self.types = Settings(), {}, {}
@@ -108,12 +107,6 @@ class Engine:
     def _bound(self, args: list | dict | None) -> dict | list | None:
         return {f"p{i}": v for i, v in enumerate(args, 1)} if isinstance(args, list) and args else args
 
-    def _keep(self, name: str, df: DataFrame) -> DataFrame:
-        """A table of the session, in the shared folder, under its name."""
-        self.tables[name] = settled(self.spark, df)
-        self.tables[name].createOrReplaceTempView(name)
-        return self.tables[name]
-
     def execute(self, text: str, args: list | None = None) -> DataFrame:
         """A statement: a query, or one that changes tables of the session (see statements). The latter gives the
         rows of RETURNING, or none. Parameters are $1, $2 and so on; they stand for values anywhere."""
@@ -123,65 +116,21 @@ class Engine:
             literal = lambda v: "null" if v is None else str(v).lower() if isinstance(v, bool) else "'" + v.replace("'", "''") + "'" if isinstance(v, str) else repr(v)
             if words[:1] != ["select"] and words[:1] != ["with"]:
                 parts = [literal(args[int(t[2:]) - 1]) if re.fullmatch(r":p\d+", t) else t for t in parts]
-        changes = {"insert": self._insert, "update": self._update, "delete": self._delete, "create": self._create, "drop": self._drop}
-        if words and words[0] in changes:
-            return changes[words[0]](parts)
-        return self.sql("".join(parts), self._bound(args))
-
-    def _changed(self, name: str, change: dml.Change, returning: str | None) -> DataFrame:
-        out = settled(self.spark, change.returning.selectExpr(*st.items(returning))) if returning else self.spark.range(0).select()
-        self._keep(name, change.table)
-        return out
-
-    def _table(self, name: str) -> DataFrame:
-        if name not in self.tables:
-            raise ValueError(f"[42P01] relation {name} does not exist")
-        return self.tables[name]
-
-    def _insert(self, parts: list[str]) -> DataFrame:
-        c = st.clauses(parts, "insert into", "on conflict", "do nothing", "do update set", "where", "returning", "values", "select", "with")
-        name, *columns = re.match(r"([\w.]+)\s*(?:\((.*)\))?$", c["insert into"], re.S).groups()
-        table = self._table(name)
-        given = [x.strip('"') for x in st.items(columns[0])] if columns[0] else table.columns
-        conflict = "on conflict" in c
-        source = f"values {c['values']}" if "values" in c else "".join(parts)[re.search(r"(?is)\b(select|with)\b", "".join(parts)).start() :]
-        if "values" not in c:
-            source = re.split(r"(?is)\bon\s+conflict\b|\breturning\b", source)[0]
-        rows = self.spark.sql(source).toDF(*given)
-        if not conflict:
-            return self._changed(name, dml.insert(table, rows), c.get("returning"))
-        keys = st.items(c["on conflict"].strip().strip("()"))
-        clean = lambda x: re.sub(rf"(?i)\b{name}\.", "", re.sub(r"(?i)\bexcluded\.(\w+)", r"excluded_\1", x))
-        update = {k: F.expr(clean(v)) for k, v in st.assignments(c["do update set"]).items()} if "do update set" in c else None
-        where = F.expr(clean(c["where"])) if update and "where" in c else None
-        return self._changed(name, dml.insert_on_conflict(table, rows, keys, update, where), c.get("returning"))
-
-    def _update(self, parts: list[str]) -> DataFrame:
-        c = st.clauses(parts, "update", "set", "where", "returning")
-        sets = {k: F.expr(v) for k, v in st.assignments(c["set"]).items()}
-        return self._changed(c["update"], dml.update(self._table(c["update"]), sets, F.expr(c["where"]) if "where" in c else None), c.get("returning"))
-
-    def _delete(self, parts: list[str]) -> DataFrame:
-        c = st.clauses(parts, "delete from", "where", "returning")
-        return self._changed(c["delete from"], dml.delete(self._table(c["delete from"]), F.expr(c["where"]) if "where" in c else None), c.get("returning"))
-
-    def _create(self, parts: list[str]) -> DataFrame:
-        m = re.match(r"(?is)create\s+(?:temp(?:orary)?\s+)?table\s+([\w.]+)\s*(?:as\s+(.*)|\((.*)\))$", "".join(parts).strip())
-        if not m:
-            raise ValueError("[0A000] of CREATE only tables are made by statements")
-        name, query, columns = m.groups()
-        if name in self.tables:
-            raise ValueError(f"[42P07] relation {name} already exists")
-        self._keep(name, self.spark.sql(query) if query else self.spark.createDataFrame([], columns))
-        return self.spark.range(0).select()
-
-    def _drop(self, parts: list[str]) -> DataFrame:
-        m = re.match(r"(?is)drop\s+table\s+(if\s+exists\s+)?([\w.]+)$", "".join(parts).strip())
-        if not m or not m[1] and m[2] not in self.tables:
-            raise ValueError(f"[42P01] relation {m[2] if m else ''} does not exist")
-        if self.tables.pop(m[2], None) is not None:
-            self.spark.catalog.dropTempView(m[2])
-        return self.spark.range(0).select()
+        changes = {"insert": self._insert, "update": self._update, "delete": self._delete, "create": self._create, "drop": self._drop, "alter": self._alter}
+        head = words[0] if words else ""
+        if head in ("begin", "start"):
+            return self._begin(" ".join(words))
+        if head in ("commit", "rollback", "end", "abort"):
+            return self._end(head in ("commit", "end"))
+        if self.failed:
+            raise ValueError("[25P02] current transaction is aborted, commands ignored until end of transaction block")
+        try:
+            if head in changes and self.reading:
+                raise ValueError(f"[25006] cannot execute {head.upper()} in a read-only transaction")
+            return changes[head](parts) if head in changes else self.sql("".join(parts), self._bound(args))
+        except Exception:
+            self.failed = self.saved is not None
+            raise
 
     def sql(self, text: str, args: list | dict | None = None) -> DataFrame:
         """A query with bind parameters (? or :name). Reading a table needs the select privilege once any was granted."""
