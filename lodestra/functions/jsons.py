@@ -3,6 +3,7 @@ containment, edits by path, pretty printing, the path language) runs in Arrow-ba
 
 from __future__ import annotations
 
+import functools
 import json
 from collections.abc import Callable
 from decimal import Decimal
@@ -51,11 +52,16 @@ def dump(x: Any, equal: bool = False, indent: int = 0, depth: int = 0) -> str:
 def _over(kind: str, f: Callable[..., Any], *columns: Column) -> Column:
     """f over the values of JSON columns; NULL in gives NULL out, as does None."""
 
-    @F.pandas_udf(kind)
+    return F.pandas_udf(rowwise(f), kind)(*columns)
+
+
+def rowwise(f: Callable[..., Any]) -> Callable[..., pd.Series]:
+    """f as a function of batches; a NULL among a row's values gives NULL."""
+
     def run(*parts: pd.Series) -> pd.Series:
         return pd.Series([None if any(x is None for x in row) else f(*row) for row in zip(*parts)], dtype=object)
 
-    return run(*columns)
+    return run
 
 
 def canonical(j: Column) -> Column:
@@ -124,21 +130,32 @@ def array_length(j: Column) -> Column:
 
 def get(j: Column, key: str | int) -> Column:
     """j -> key, as JSON text."""
-    return F.to_json(F.try_variant_get(F.parse_json(j), _path([key]), "variant"))
+    return F.to_json(F.try_variant_get(F.parse_json(j), member_path([key]), "variant"))
 
 
 def get_text(j: Column, *keys: str | int) -> Column:
     """j ->> key and j #>> path"""
-    return F.get_json_object(j, _path(keys))
+    return F.get_json_object(j, member_path(keys))
 
 
 def get_path(j: Column, keys: list[str | int]) -> Column:
     """j #> path"""
-    return F.to_json(F.try_variant_get(F.parse_json(j), _path(keys), "variant"))
+    return F.to_json(F.try_variant_get(F.parse_json(j), member_path(keys), "variant"))
+
+
+def member_path(keys: Any) -> str:
+    """Spark's path of the keys. It has no form for a key with a quote beside a dot or a square bracket."""
 
+    def part(k: str | int) -> str:
+        if isinstance(k, int):
+            return f"[{k}]"
+        if k and k != "*" and "." not in k and "[" not in k:
+            return f".{k}"
+        if "'" in k:
+            raise ValueError(f"[0A000] no path to the key {k!r}")
+        return f"['{k}']"
 
-def _path(keys: Any) -> str:
-    return "$" + "".join(f"[{k}]" if isinstance(k, int) else f".{k}" if k.isidentifier() else f"['{k}']" for k in keys)
+    return "$" + "".join(map(part, keys))
 
 
 def has_key(j: Column, key: str) -> Column:
@@ -165,17 +182,21 @@ def _holds(a: Any, b: Any, top: bool = True) -> bool:
 
 def contains(a: Column, b: Column) -> Column:
     """a @> b"""
-    return _over("boolean", lambda x, y: _holds(load(x), load(y)), a, b)
+    return _over("boolean", holds, a, b)
 
 
-def _strip(x: Any) -> Any:
+def holds(a: str, b: str) -> bool:
+    return _holds(load(a), load(b))
+
+
+def stripped(x: Any) -> Any:
     if isinstance(x, dict):
-        return {k: _strip(v) for k, v in x.items() if v is not None}
-    return [_strip(y) for y in x] if isinstance(x, list) else x
+        return {k: stripped(v) for k, v in x.items() if v is not None}
+    return [stripped(y) for y in x] if isinstance(x, list) else x
 
 
 def strip_nulls(j: Column) -> Column:
-    return _over("string", lambda x: dump(_strip(load(x))), j)
+    return _over("string", lambda x: dump(stripped(load(x))), j)
 
 
 def pretty(j: Column) -> Column:
@@ -225,7 +246,7 @@ def delete_keys(j: Column, keys: list[str]) -> Column:
     return _over("string", lambda x: dump({k: v for k, v in load(x).items() if k not in keys}), j)
 
 
-def set_(j: Column, keys: list[str], new: str, create: bool = True) -> Column:
+def put(keys: list[str], new: str, create: bool = True) -> Callable[[str], str]:
     def change(at: Any, k: str) -> None:
         if isinstance(at, list):
             i = int(k)
@@ -236,10 +257,14 @@ def set_(j: Column, keys: list[str], new: str, create: bool = True) -> Column:
         elif create or k in at:
             at[k] = load(new)
 
-    return _over("string", _edit(keys, change), j)
+    return _edit(keys, change)
 
 
-def insert(j: Column, keys: list[str], new: str, after: bool = False) -> Column:
+def set_(j: Column, keys: list[str], new: str, create: bool = True) -> Column:
+    return _over("string", put(keys, new, create), j)
+
+
+def inserted(keys: list[str], new: str, after: bool = False) -> Callable[[str], str]:
     def change(at: Any, k: str) -> None:
         if isinstance(at, list):
             i = int(k)
@@ -248,7 +273,11 @@ def insert(j: Column, keys: list[str], new: str, after: bool = False) -> Column:
         elif k not in at:
             at[k] = load(new)
 
-    return _over("string", _edit(keys, change), j)
+    return _edit(keys, change)
+
+
+def insert(j: Column, keys: list[str], new: str, after: bool = False) -> Column:
+    return _over("string", inserted(keys, new, after), j)
 
 
 def scalar(c: Column) -> Column:
@@ -301,6 +330,17 @@ def _lenient(path: tuple, text: str) -> list:
         return []
 
 
+def found(path: str, text: str) -> list:
+    """What a path finds; the parsed path is kept."""
+    return jsonpath.evaluate(_parsed(path), load(text))
+
+
+def lenient(path: str, text: str) -> list:
+    return _lenient(_parsed(path), text)
+
+
+_parsed = functools.lru_cache(maxsize=64)(jsonpath.parse)
+
 json_exists = path_exists
 
 

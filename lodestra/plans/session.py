@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestra.functions.misc import Sequence, Settings
+from lodestra.plans import names
 from lodestra.plans import statements as st
 from lodestra.plans.tables import Tables
 from lodestra.sources import readers
@@ -56,6 +57,7 @@ class Engine(Tables):
         self.spark, self.clock = spark.newSession(), clock
         self.used: Sequence | None = None
         self._start()
+        self.made: set[str] = set()
         for k, v in (CONF | (conf or {})).items():
             self.spark.conf.set(k, v)
         self.settings, self.sequences, self.types = Settings(), {}, {}
@@ -112,6 +114,7 @@ class Engine(Tables):
         rows of RETURNING, or none. Parameters are $1, $2 and so on; they stand for values anywhere."""
         parts = st.rewritten(st.tokens(text))
         words = [t.lower() for t in parts if t != " "]
+        names.make(self.spark, set(words), self.made)
         if args:
             literal = lambda v: "null" if v is None else str(v).lower() if isinstance(v, bool) else "'" + v.replace("'", "''") + "'" if isinstance(v, str) else repr(v)
             if words[:1] != ["select"] and words[:1] != ["with"]:

@@ -65,3 +65,21 @@ def test_clauses_stay_inside_brackets_and_quotes():
     c = st.clauses(st.tokens("update t set a = (select 1 where true), b = 'x where y' where k in (1, 2) returning a"), "update", "set", "where", "returning")
     assert c == {"": "", "update": "t", "set": "a = (select 1 where true), b = 'x where y'", "where": "k in (1, 2)", "returning": "a"}
     assert st.assignments("a = f(1, 2), b = c = 3") == {"a": "f(1, 2)", "b": "c = 3"}
+
+
+def test_json_operators_and_functions_by_name(engine):
+    x = engine.execute
+    x("""create table d as select 1 as k, '{"a": {"b": [1, 2, {"c": "x"}]}, "n": null, "it''s": "t"}' as j union all select 2, '{"a": 5}' union all select 3, null""")
+    one = lambda text: rows(x(f"select {text} as v from d where k = 1"))[0][0]
+    assert one("j -> 'a' -> 'b' ->> 1") == "2" and one("j #>> '{a,b,2,c}'") == "x" and one("j #> '{a,b}'") == '[1,2,{"c":"x"}]'
+    assert one("j ? 'n'") is True and one("j ? 'zz'") is False and one("j ?| array['zz', 'a']") is True and one("j ?& array['zz', 'a']") is False
+    assert rows(x("select k from d where j -> 'a' = '5' or j ->> 'it''s' = 't'")) == [(1,), (2,)]
+    assert rows(x("""select k from d where j @> '{"a": 5}'""")) == [(2,)] and rows(x("""select k from d where '{"a": 5.0}' <@ j and j @? '$.a'""")) == [(2,)]
+    assert one("jsonb_typeof(j -> 'a')") == "object" and one("jsonb_array_length(j #> '{a,b}')") == 3
+    assert one("jsonb_set('[1, 2]', '{1}', '7')") == "[1, 7]" and one("""jsonb_path_query_array(j, '$.a.b[*] ? (@ > 1)')""") == "[2]"
+    assert rows(x("select k, e from d lateral view explode(jsonb_path_query(j, '$.a.b[0 to 1]')) t as e")) == [(1, "1"), (1, "2")]
+    assert one("quote_literal('it''s')") == "'it''s'" and one("quote_ident('A b')") == '"A b"' and one("to_hex(255)") == "ff" and one("strpos('abc', 'c')") == 3
+    assert one("transform(array(1, 2), y -> 1)") == [1, 1] and one("array[1, 2, 3] @> array[2, 1]") is True and one("array[1] && array[2]") is False
+    with pytest.raises(ValueError, match="0A000"):
+        x("select j -> k from d")
+    x("drop table d")
