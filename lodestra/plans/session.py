@@ -130,6 +130,10 @@ class Engine(Tables):
         try:
             if head in changes and self.reading:
                 raise ValueError(f"[25006] cannot execute {head.upper()} in a read-only transaction")
+            if head in ("insert", "update", "delete") and self.granted is not None:
+                table = words[1 if head == "update" else 2]
+                if (head, table) not in self.granted:
+                    raise PermissionError(f"[42501] permission denied for table {table}")
             return changes[head](parts) if head in changes else self.sql("".join(parts), self._bound(args))
         except Exception:
             self.failed = self.saved is not None

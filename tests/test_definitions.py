@@ -163,6 +163,22 @@ def test_transactions(x):
     x("delete from t where id = 1")
 
 
+def test_privileges_of_statements(spark):
+    e = Engine(spark)
+    e.execute("create table t (a int)")
+    e.grant("insert", "t")
+    e.execute("insert into t values (1)")
+    for text in ("update t set a = 2", "delete from t", "select * from t"):
+        with pytest.raises(PermissionError, match="42501"):
+            e.execute(text)
+    e.grant("delete", "T")
+    e.execute("delete from t")
+    e.revoke("insert", "t")
+    with pytest.raises(PermissionError, match="42501"):
+        e.execute("insert into t values (1)")
+    e.execute("drop table t")
+
+
 def test_items_of_a_column_list():
     d = de.Definition()
     d.add("t", "a numeric(10, 2) default round(1.5, 1) + (2 * 3) not null check (a in (1, 2) or a > 5)")
